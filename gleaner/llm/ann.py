@@ -128,7 +128,7 @@ def _search(dim: int, top: int, held):
         code = np.frombuffer(b"".join(left.column("code").to_pylist()), np.uint8).reshape(len(x), -1)
         norm = left.column("norm").to_numpy()
         out = []
-        qs, qn, qv = right.column("id").to_numpy(), right.column("nth").to_numpy(), _matrix(right.column("v").combine_chunks(), dim)
+        qs, qn, qv = right.column("q").to_numpy(), right.column("qn").to_numpy(), _matrix(right.column("qv").combine_chunks(), dim)
         for at in range(0, len(qs), 512):
             q, own = qv[at : at + 512], slice(at, at + 512)
             lut = np.einsum("qd,mwd->mqw", q, books, optimize=True)
@@ -195,8 +195,12 @@ def neighbours(table: DataFrame, top: int = TOP, id_col: str = "vec_id", vec_col
     # a cell has as many blocks as its size asks for; a query goes to each of them
     size = coded.groupBy("cell").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("blocks"))
     member = coded.join(size, "cell").withColumn("block", F.pmod(F.xxhash64("id", "nth"), F.col("blocks")).cast("int"))
-    query = coded.select("id", "nth", "v", F.explode("probes").alias("cell")).join(size, "cell").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    near = member.groupBy("cell", "block").cogroup(query.groupBy("cell", "block")).applyInArrow(_search(dim, top, held), "q long, qn long, id long, n long, d float")
+    query = (
+        coded.select(F.col("id").alias("q"), F.col("nth").alias("qn"), F.col("v").alias("qv"), F.explode("probes").alias("qcell"))
+        .join(size.select(F.col("cell").alias("qcell"), F.col("blocks").alias("qblocks")), "qcell")
+        .select("q", "qn", "qv", "qcell", F.explode(F.sequence(F.lit(0), F.col("qblocks") - 1)).alias("qblock"))
+    )
+    near = member.groupBy("cell", "block").cogroup(query.groupBy("qcell", "qblock")).applyInArrow(_search(dim, top, held), "q long, qn long, id long, n long, d float")
     best = near.groupBy("q", "qn").agg(F.slice(F.array_sort(F.collect_list(F.struct("d", "id", "n"))), 1, top).alias("l"))
     return best.select(F.col("q").alias("vec_id"), F.posexplode("l")).select(
         "vec_id", (F.col("pos") + 1).cast("int").alias("rank"), F.col("col.id").alias("neighbour_id"), F.round(F.col("col.d").cast("double"), 6).alias("distance")

@@ -5,11 +5,13 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 DOC_COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+#: rows of a few numbers each; a side with more is never broadcast
+BROADCAST_ROWS = 1_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,6 +43,16 @@ def out_schema(df: DataFrame, *extra: T.StructField) -> T.StructType:
     return T.StructType([*df.schema.fields, *extra])
 
 
+def packed(df: DataFrame, *names: str) -> Column:
+    """All columns of df (or those named) as one struct: names inside can't clash with an operator's own."""
+    return F.struct(*[F.col(f"`{c}`") for c in names or df.columns])
+
+
+def small(df: DataFrame, rows: int | None = None, most: int = BROADCAST_ROWS) -> DataFrame:
+    """df, marked for broadcast if it has at most so many rows; a larger one is joined by a shuffle."""
+    return F.broadcast(df) if (df.count() if rows is None else rows) <= most else df
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """A column name that df doesn't have, in any case."""
     have = {c.lower() for c in df.columns}

@@ -26,9 +26,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gleaner.llm import kernel as K
-from gleaner.llm.common import fresh, written
+from gleaner.llm.common import packed, small, written
 
-TEMPER, BUCKET_ROWS, FAN, BROADCAST_ROWS = 0.5, 4096, 64, 1_000_000
+TEMPER, BUCKET_ROWS, FAN = 0.5, 4096, 64
 _EPS = 1e-9
 
 
@@ -106,20 +106,15 @@ def rates(docs: DataFrame, weights: dict | None = None, total: int | None = None
     return n.select("source", (F.col("w") / F.lit(float(t or 1)) * F.lit(float(total or 0)) / F.col("n")).alias("rate"))
 
 
-def _prepared(docs: DataFrame, weights: dict | None, total: int | None, temper: float, slim: bool) -> tuple[DataFrame, int]:
-    """Rows with _bucket, _key, _whole, _p; slim: without other columns."""
-    r = rates(docs, weights, total, temper)
-    rows = docs.count()
-    buckets = max(1, -(-rows // BUCKET_ROWS))
-    key = F.xxhash64(*[docs[c] for c in docs.columns])
-    small = r.count() <= BROADCAST_ROWS
-    r = r.withColumnRenamed("source", "_source")
-    d = docs.withColumn("_key", key)
-    if slim:
-        d = d.select("doc_id", "source", "_key")
-    d = d.join(F.broadcast(r) if small else r, d["source"].eqNullSafe(r["_source"]), "left").drop("_source")
-    d = d.withColumn("_whole", F.floor(F.col("rate") + F.lit(_EPS))).withColumn("_p", F.greatest(F.lit(0.0), F.col("rate") - F.col("_whole"))).drop("rate")
-    return d.withColumn("_bucket", F.pmod(F.xxhash64("_key"), F.lit(buckets))), buckets
+def _prepared(docs: DataFrame, weights: dict | None, total: int | None, temper: float, columns: tuple[str, ...]) -> tuple[DataFrame, int]:
+    """(row: the columns asked for, _bucket, _key, _whole, _p) of every row."""
+    r = rates(docs, weights, total, temper).withColumnRenamed("source", "_source")
+    buckets = max(1, -(-docs.count() // BUCKET_ROWS))
+    kept = [packed(docs, *columns).alias("row")] if columns else []
+    d = docs.select(*kept, F.col("source").alias("_from"), F.xxhash64("doc_id", "text", "source").alias("_key"))
+    d = d.join(small(r), d["_from"].eqNullSafe(r["_source"]), "left")
+    d = d.withColumn("_whole", F.floor(F.col("rate") + F.lit(_EPS))).withColumn("_p", F.greatest(F.lit(0.0), F.col("rate") - F.col("_whole")))
+    return d.drop("rate", "_source", "_from").withColumn("_bucket", F.pmod(F.xxhash64("_key"), F.lit(buckets))), buckets
 
 
 def _decisions(slim: DataFrame, buckets: int) -> DataFrame:
@@ -142,15 +137,11 @@ def _decisions(slim: DataFrame, buckets: int) -> DataFrame:
         level = out.filter("up").select(F.floor(F.col("node") / F.lit(FAN)).alias("node"), "_key", "_p", "bucket")
 
 
-def _apply(docs: DataFrame, weights: dict | None, total: int | None, temper: float, slim: bool, count: str) -> DataFrame:
-    d, buckets = _prepared(docs, weights, total, temper, slim=True)
-    take = _decisions(d, buckets).withColumnRenamed("_bucket", "_b")
-    if not slim:
-        d, _ = _prepared(docs, weights, total, temper, slim=False)
-    small = buckets <= BROADCAST_ROWS
-    d = d.join(F.broadcast(take) if small else take, d["_bucket"] == take["_b"], "left").drop("_b")
-    keep = [c for c in d.columns if c in (("doc_id", "source") if slim else docs.columns)]
-    schema = T.StructType([*[d.schema[c] for c in keep], T.StructField(count, T.LongType())])
+def _apply(docs: DataFrame, weights: dict | None, total: int | None, temper: float, columns: tuple[str, ...], count: str) -> DataFrame:
+    take = _decisions(*_prepared(docs, weights, total, temper, ())).withColumnRenamed("_bucket", "_b")
+    d, buckets = _prepared(docs, weights, total, temper, columns)
+    d = d.join(small(take, buckets), d["_bucket"] == take["_b"], "left").drop("_b")
+    schema = T.StructType([d.schema["row"], T.StructField(count, T.LongType())])
 
     def run(t: pa.Table) -> pa.Table:
         o, out, held = _level(t)
@@ -159,18 +150,17 @@ def _apply(docs: DataFrame, weights: dict | None, total: int | None, temper: flo
         copies = np.empty(len(out), np.int64)
         copies[o] = np.round(out).astype(np.int64)
         copies += t.column("_whole").to_numpy().astype(np.int64)
-        return t.select(keep).append_column(count, pa.array(copies))
+        return t.select(["row"]).append_column(count, pa.array(copies))
 
     return d.groupBy("_bucket").applyInArrow(run, schema)
 
 
 def copies(docs: DataFrame, weights: dict | None = None, total: int | None = None, temper: float = TEMPER) -> DataFrame:
     """(doc_id, source, copies) of every row; the copies add up to total."""
-    return _apply(docs.select("doc_id", "text", "source"), weights, total, temper, True, "copies")
+    return _apply(docs, weights, total, temper, ("doc_id", "source"), "copies").select("row.*", "copies")
 
 
 def mix(docs: DataFrame, weights: dict | None = None, total: int | None = None, temper: float = TEMPER) -> DataFrame:
     """docs with every row as often as it was rounded to."""
-    name = fresh(docs, "n_copies")
-    d = _apply(docs, weights, total, temper, False, name)
-    return d.filter(F.col(name) > 0).withColumn(name, F.explode(F.sequence(F.lit(1).cast("long"), F.col(name)))).select(*docs.columns)
+    d = _apply(docs, weights, total, temper, tuple(docs.columns), "copies").filter("copies > 0")
+    return d.select("row", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).select("row.*")

@@ -54,7 +54,8 @@ def fit_rows(docs: DataFrame, labels: DataFrame, most: int = FIT_ROWS) -> DataFr
     """docs' text with (quality, half) for a bounded sample of the labels; the sample's size is known, so it is broadcast."""
     lab = labels.filter("doc_id is not null and quality is not null").select(F.col("doc_id").cast("long").alias("l_id"), F.col("quality").cast("int").alias("l_quality"))
     lab = lab.groupBy("l_id").agg(F.min("l_quality").alias("l_quality")).orderBy(F.xxhash64("l_id"), "l_id").limit(most).withColumn("l_half", F.pmod(F.hash("l_id"), F.lit(2)))
-    return docs.join(F.broadcast(lab), docs["doc_id"].cast("long") == lab["l_id"]).select(docs["doc_id"].alias("id"), docs["text"].alias("text"), "l_quality", "l_half")
+    text = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").alias("text"))
+    return text.join(F.broadcast(lab), text["id"] == lab["l_id"]).select("id", "text", "l_quality", "l_half")
 
 
 def _count(batches):

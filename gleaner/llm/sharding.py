@@ -13,8 +13,8 @@ A document's offset in its shard is the sum of the sizes before it: block sums
 within each block; no window ever covers a shard's documents, so a shard that
 holds most of the data doesn't hold up a task.
 
-Order in a shard: doc_id, then text hash.  Null doc_ids come first, null shards
-are the shard ''.  Null and empty texts have 0 bytes and go with their offset.
+Order in a shard: doc_id, then text hash.  Null doc_ids come first, by text hash;
+null shards are the shard ''.  Rows that agree in both go to one shard's files.  Null and empty texts have 0 bytes and go with their offset.
 Repeated rows are rows of their own.  Capacities are the total divided evenly
 (the first ones take the remainder) unless given; if they hold less than the
 total, the flow can't exist and a ValueError says so.
@@ -27,9 +27,11 @@ from collections import deque
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import written
+from gleaner.llm.common import fresh, packed, shared_dir, small, written
 
-NEW_SHARDS, BLOCK_IDS = 24, 4096
+NEW_SHARDS, BLOCK_IDS, FILE_BYTES = 24, 4096, 256 << 20
+#: null doc_ids: 4096 blocks before all others, by text hash
+NULL_BLOCK = -(1 << 62)
 LAST = (1 << 62) + ((1 << 62) - 1)
 
 
@@ -119,54 +121,93 @@ def transfers(old: list[int], capacity: list[int]) -> list[list[tuple[int, int,
     return out
 
 
-def placed(docs: DataFrame, shard_col: str = "source", new_shards: int = NEW_SHARDS, capacity: list[int] | None = None, slim: bool = False) -> DataFrame:
-    """docs (slim: doc_id only) with old_shard, n_bytes, shard_offset, new_shard and moved."""
-    names = {c: f"_{c}" for c in ("old_shard", "n_bytes", "shard_offset", "new_shard", "moved") if c in docs.columns}
-    keep = ["doc_id"] if slim else docs.columns
-    d = docs.withColumns(
-        {"__old": F.coalesce(F.col(shard_col).cast("string"), F.lit("")), "__bytes": F.coalesce(F.octet_length("text"), F.lit(0)).cast("long"), "__block": F.coalesce(F.floor(F.col("doc_id") / F.lit(BLOCK_IDS)), F.lit(-(1 << 62)))}
-    ).withColumn("__tie", F.xxhash64("text"))
-    sums = written(d.groupBy("__old", "__block").agg(F.sum("__bytes").alias("__size")))
-    shards = sums.groupBy("__old").agg(F.sum("__size").alias("size")).orderBy("__old").collect()
+def _keyed(docs: DataFrame, shard_col: str, slim: bool) -> DataFrame:
+    """(row: the columns to keep, old, bytes, block, id, tie) of every document."""
+    return docs.select(
+        packed(docs, *(["doc_id"] if slim else [])).alias("row"),
+        F.coalesce(F.col(shard_col).cast("string"), F.lit("")).alias("old"),
+        F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("bytes"),
+        F.col("doc_id").cast("long").alias("id"),
+        F.xxhash64("text").alias("tie"),
+    ).withColumn("block", F.coalesce(F.floor(F.col("id") / F.lit(BLOCK_IDS)), NULL_BLOCK + F.shiftrightunsigned(F.col("tie").bitwiseXOR(F.lit(-(1 << 63))), 52)))
+
+
+def _planned(keyed: DataFrame, new_shards: int, capacity: list[int] | None) -> tuple[DataFrame, DataFrame, int, list[int], int]:
+    """(base offset of each block, byte ranges with their new shards, number of ranges, shards that gain or lose bytes, greatest capacity)."""
+    spark = keyed.sparkSession
+    sums = written(keyed.groupBy("old", "block").agg(F.sum("bytes").alias("size")))
+    # a row for each old shard
+    shards = sums.groupBy("old").agg(F.sum("size").alias("size")).orderBy("old").collect()
     if capacity is None:
         total = sum(r["size"] for r in shards)
         capacity = [total // new_shards + (k < total % new_shards) for k in range(new_shards)]
-    plan = []
+    plan, touched = [], set()
     for i, (r, parts) in enumerate(zip(shards, transfers([r["size"] for r in shards], capacity))):
         parts = parts or [(0, 0, min(i, len(capacity) - 1))]
-        for k, (a, b, j) in enumerate(parts):
-            plan.append((r[0], a, LAST if k == len(parts) - 1 else b, j, i == j))
-    plan = docs.sparkSession.createDataFrame(plan, "p_old string, p_from long, p_to long, new_shard int, stays boolean")
-    base = sums.withColumn("__base", F.sum("__size").over(Window.partitionBy("__old").orderBy("__block")) - F.col("__size")).drop("__size").select(F.col("__old").alias("b_old"), F.col("__block").alias("b_block"), "__base")
-    if slim:
-        d = d.select("doc_id", "__old", "__bytes", "__block", "__tie")
-    within = Window.partitionBy("__old", "__block").orderBy("doc_id", "__tie").rowsBetween(Window.unboundedPreceding, -1)
-    d = d.withColumn("__within", F.coalesce(F.sum("__bytes").over(within), F.lit(0)))
-    d = d.join(base, (d["__old"] == base["b_old"]) & (d["__block"] == base["b_block"])).withColumn("__at", F.col("__base") + F.col("__within"))
-    # the plan has at most one row for each old shard and two for each new one
-    d = d.join(F.broadcast(plan), (d["__old"] == plan["p_old"]) & (d["__at"] >= plan["p_from"]) & (d["__at"] < plan["p_to"]))
-    # the whole bytes of a shard end at its last document, so offsets past the last range can't occur
+        if any(j != i for _, _, j in parts):
+            touched |= {j for _, _, j in parts if j != i} | ({i} if i < len(capacity) else set())
+        plan += [(r[0], a, LAST if k == len(parts) - 1 else b, j, i == j) for k, (a, b, j) in enumerate(parts)]
+    ranges = spark.createDataFrame(plan, "old string, first long, past long, new_shard int, stays boolean")
+    base = sums.withColumn("base", F.sum("size").over(Window.partitionBy("old").orderBy("block")) - F.col("size"))
+    return base, ranges, len(plan), sorted(touched), max(capacity, default=0)
+
+
+def _place(keyed: DataFrame, base: DataFrame, ranges: DataFrame, n_ranges: int) -> DataFrame:
+    """keyed with at (the offset in the old shard), new_shard and stays."""
+    within = Window.partitionBy("old", "block").orderBy("id", "tie").rowsBetween(Window.unboundedPreceding, -1)
+    d = keyed.withColumn("within", F.coalesce(F.sum("bytes").over(within), F.lit(0)))
+    d = d.join(base.select("old", "block", "base"), ["old", "block"]).withColumn("at", F.col("base") + F.col("within"))
+    d, r = d.alias("d"), small(ranges, n_ranges).alias("r")
+    return d.join(r, (F.col("d.old") == F.col("r.old")) & (F.col("at") >= F.col("first")) & (F.col("at") < F.col("past"))).select("d.*", "new_shard", "stays")
+
+
+def placed(docs: DataFrame, shard_col: str = "source", new_shards: int = NEW_SHARDS, capacity: list[int] | None = None, slim: bool = False) -> DataFrame:
+    """docs (slim: doc_id only) with old_shard, n_bytes, shard_offset, new_shard and moved.
+
+    A column of docs that has one of these names stays; the new one then has underscores before its name.
+    """
+    keyed = _keyed(docs, shard_col, slim)
+    base, ranges, n, _, _ = _planned(keyed, new_shards, capacity)
+    return _shown(docs, _place(keyed, base, ranges, n), slim)
+
+
+def _shown(docs: DataFrame, d: DataFrame, slim: bool) -> DataFrame:
+    have = docs.select("doc_id") if slim else docs
     return d.select(
-        *keep,
-        F.col("__old").alias(names.get("old_shard", "old_shard")),
-        F.col("__bytes").alias(names.get("n_bytes", "n_bytes")),
-        F.col("__at").alias(names.get("shard_offset", "shard_offset")),
-        F.col("new_shard").alias(names.get("new_shard", "new_shard")),
-        (~F.col("stays")).alias(names.get("moved", "moved")),
+        "row.*",
+        F.col("old").alias(fresh(have, "old_shard")),
+        F.col("bytes").alias(fresh(have, "n_bytes")),
+        F.col("at").alias(fresh(have, "shard_offset")),
+        F.col("new_shard").alias(fresh(have, "new_shard")),
+        (~F.col("stays")).alias(fresh(have, "moved")),
     )
 
 
-def rewrite(df: DataFrame, path: str) -> list[int]:
-    """Writes the files of the shards that gain or lose bytes, new_shard=k/...; returns those shards.
+def reshard(docs: DataFrame, path: str | None = None, shard_col: str = "source", new_shards: int = NEW_SHARDS, capacity: list[int] | None = None) -> DataFrame:
+    """Writes the files of the shards that gain or lose bytes and returns every document's place, as placed(slim=True).
 
-    df is placed()'s result.  A shard that nothing enters or leaves isn't written.
+    path (a folder of the shared one unless given) gets new_shard=k/*.parquet with
+    docs' columns; a shard that nothing enters or leaves isn't written.  Texts move
+    once, to the files: a block that lies in one byte range takes its shard from the
+    range, and only documents of blocks that a range's end cuts are put in order.
     """
-    gain = df.filter("moved").select("new_shard").distinct()
-    lose = df.filter("moved").select(F.col("old_shard").alias("lost")).distinct()
-    left = df.join(F.broadcast(lose), df["old_shard"] == lose["lost"], "left_semi").filter("not moved").select("new_shard").distinct()
-    touched = sorted(r[0] for r in gain.union(left).distinct().collect())
-    df.filter(F.col("new_shard").isin(touched)).repartition("new_shard", F.pmod(F.xxhash64("doc_id"), F.lit(8))).write.partitionBy("new_shard").parquet(path)
-    return touched
+    keyed = _keyed(docs, shard_col, False)
+    base, ranges, n, touched, most = _planned(keyed.drop("row"), new_shards, capacity)
+    place = _place(_keyed(docs, shard_col, True), base, ranges, n)
+    if touched:
+        b, r = base.alias("b"), small(ranges, n).alias("r")
+        # documents without bytes at a block's end lie at base + size, so that is in the range too
+        whole = b.join(r, (F.col("b.old") == F.col("r.old")) & (F.col("base") >= F.col("first")) & (F.col("base") < F.col("past")))
+        blocks = written(whole.select("b.old", "b.block", F.when(F.col("base") + F.col("size") < F.col("past"), F.col("new_shard")).alias("to")))
+        joined = keyed.join(small(blocks), ["old", "block"])
+        cut = written(_place(_keyed(docs, shard_col, True).join(small(blocks.filter("to is null")), ["old", "block"], "left_semi"), base, ranges, n).groupBy("old", "block", "id", "tie").agg(F.min("new_shard").alias("own")))
+        c = small(cut.select(*[F.col(x).alias(f"c_{x}") for x in cut.columns]))
+        joined = joined.join(c, F.expr("to is null and old = c_old and block = c_block and id <=> c_id and tie = c_tie"), "left")
+        name, part = fresh(docs, "new_shard"), max(1, -(-most // FILE_BYTES))
+        moved = joined.withColumn("shard", F.coalesce("to", "c_own")).filter(F.col("shard").isin(touched))
+        moved = moved.repartition("shard", F.pmod(F.xxhash64("id", "tie"), F.lit(part))).select("row.*", F.col("shard").alias(name))
+        moved.write.partitionBy(name).parquet(path or shared_dir(docs.sparkSession))
+    return _shown(docs, place, True)
 
 
 ORACLE = f"""

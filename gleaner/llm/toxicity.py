@@ -118,7 +118,8 @@ def fit(docs: DataFrame, labels: DataFrame) -> dict[str | None, Model]:
     lab = lab.groupBy("l_id").agg(F.max("l_toxic").alias("l_toxic"))
     order = (F.xxhash64("l_id"), "l_id")
     lab = lab.filter("l_toxic").orderBy(*order).limit(FIT_TOXIC).union(lab.filter("not l_toxic").orderBy(*order).limit(FIT_ORDINARY))
-    text = docs.filter("text is not null").join(F.broadcast(lab), docs["doc_id"].cast("long") == lab["l_id"]).select("l_id", "l_toxic", docs["text"].alias("text"), docs["lang"].alias("lang"))
+    text = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").alias("text"), F.col("lang").alias("lang")).filter("text is not null")
+    text = text.join(F.broadcast(lab), text["id"] == lab["l_id"]).select("l_id", "l_toxic", "text", "lang")
     rows = [(i, bool(x), t, g) for i, x, t, g in text.toLocalIterator()]
     out = {}
     for lang in sorted({g for _, x, _, g in rows if g is not None}):
