@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from gleaner.functions import lexicons as L
-from gleaner.functions.text import blank, contains_any, lines, literal, tokens
+from gleaner.functions.text import blank, contains_any, let, lines, literal, tokens
 
 _COMMENT = "^(?:" + "|".join(literal(p) for p in L.COMMENT_PREFIXES) + ")"
 _COMMENT_OR_DOC = _COMMENT[:-1] + '|""")'
@@ -50,20 +50,25 @@ def placeholder(ls: Column) -> Column:
 def comment_restate(ls: Column) -> Column:
     """Comments most of whose words are in the code line below; words that occur twice count twice."""
 
-    def restates(i: Column) -> Column:
-        a, b = F.get(ls, i), F.get(ls, i + 1)
-        said, code = F.filter(_words(a), lambda w: ~w.isin(*L.STOPWORDS)), _words(b)
-        both = F.size(F.filter(said, lambda w: F.array_contains(code, w)))
-        return a.rlike(_COMMENT) & ~b.rlike(_COMMENT) & (F.size(said) >= 2) & (both * 10 >= F.size(said) * 6)
+    def close(x: Column) -> Column:
+        both = F.size(F.filter(x["said"], lambda w: F.array_contains(x["code"], w)))
+        return (F.size(x["said"]) >= 2) & (both * 10 >= F.size(x["said"]) * 6)
 
-    n = F.when(F.size(ls) >= 8, F.size(F.filter(F.sequence(F.lit(0), F.size(ls) - 2), restates)))
-    return F.when(n >= 2, F.least(n / 4.0, F.lit(1.0)))
+    def restates(p: Column) -> Column:
+        words = F.struct(F.filter(_words(p["a"]), lambda w: ~w.isin(*L.STOPWORDS)).alias("said"), _words(p["b"]).alias("code"))
+        return p["a"].rlike(_COMMENT) & ~p["b"].rlike(_COMMENT) & let(words, close)
+
+    def counted(ls: Column) -> Column:
+        return F.when(F.size(ls) >= 8, F.size(F.filter(F.transform(F.sequence(F.lit(0), F.size(ls) - 2), lambda i: F.struct(F.get(ls, i).alias("a"), F.get(ls, i + 1).alias("b"))), restates)))
+
+    return let(let(ls, counted), lambda n: F.when(n >= 2, F.least(n / 4.0, F.lit(1.0))))
 
 
 def generic_ident(ls: Column) -> Column:
     words = F.flatten(F.transform(F.filter(ls, lambda x: ~x.rlike(_COMMENT)), _words))
-    share = F.size(F.filter(words, lambda w: w.isin(*L.GENERIC_WORDS))) / F.greatest(F.size(words), F.lit(1))
-    return F.when((F.size(ls) >= 8) & (F.size(words) >= 20) & (share >= 0.3), share)
+    share = lambda ws: F.size(F.filter(ws, lambda w: w.isin(*L.GENERIC_WORDS))) / F.size(ws)
+    most = let(words, lambda ws: F.when(F.size(ws) >= 20, share(ws)))
+    return let(F.when(F.size(ls) >= 8, most), lambda s: F.when(s >= 0.3, s))
 
 
 def pathset(paths: Column) -> Column:

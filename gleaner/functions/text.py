@@ -23,6 +23,11 @@ def literal(text: str) -> str:
     return re.sub(r"([^\w\s])", r"\\\1", text)
 
 
+def let(value: Column, f) -> Column:
+    """f(value) with value evaluated once a row, however often f's lambdas use it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def count(col: Column, pattern: str) -> Column:
     return F.regexp_count(col, F.lit(pattern)).cast("long")
 
@@ -62,7 +67,11 @@ def tokens(col: Column) -> Column:
 
 def shingles(toks: Column, n: int) -> Column:
     """Every n tokens in a row, joined by U+001F; none for fewer tokens."""
-    return F.when(F.size(toks) >= n, F.transform(F.sequence(F.lit(1), F.size(toks) - (n - 1)), lambda i: F.array_join(F.slice(toks, i, n), "\u001f"))).otherwise(F.array().cast("array<string>"))
+
+    def windows(t: Column) -> Column:
+        return F.when(F.size(t) >= n, F.transform(F.sequence(F.lit(1), F.size(t) - (n - 1)), lambda i: F.array_join(F.slice(t, i, n), "\u001f"))).otherwise(F.array().cast("array<string>"))
+
+    return let(toks, windows)
 
 
 def _rate(num: Column, den: Column, most: float) -> Column:
@@ -126,9 +135,11 @@ def grounding_miss(body: Column, diff: Column, paths: Column) -> Column:
     spans = F.filter(F.split(body, "`"), lambda x, i: i % 2 == 1)
     spans = F.filter(F.transform(spans, F.trim), lambda s: (F.octet_length(s) >= 3) & (F.octet_length(s) <= 80) & ~s.rlike(f"[{SPACE}]") & s.rlike(r"[(/_]|::"))
     core = F.filter(F.transform(spans, lambda s: F.lower(F.regexp_replace(s, r"(?:\(\))+\z", ""))), lambda s: F.octet_length(s) >= 3)
-    low = F.lower(diff)
-    named = lambda m: F.contains(low, m) | F.exists(paths, lambda p: F.contains(F.lower(p), m) | F.contains(m, F.lower(p)))
-    return (F.size(core) >= 2) & ~F.exists(core, named)
+
+    def none_named(x: Column) -> Column:
+        return ~F.exists(x["core"], lambda m: F.contains(x["diff"], m) | F.exists(x["paths"], lambda p: F.contains(p, m) | F.contains(m, p)))
+
+    return let(core, lambda c: (F.size(c) >= 2) & let(F.struct(c.alias("core"), F.lower(diff).alias("diff"), F.transform(paths, F.lower).alias("paths")), none_named))
 
 
 def extract_prose(col: Column) -> Column:

@@ -119,7 +119,7 @@ def dossier_rules() -> Rules:
     left = count(lambda p: p["received_review"] & ~p["author_followed_up"])
     spam = count(lambda p: p["spam_labeled"])
     titles = F.filter(F.transform(prior, lambda p: F.trim(p["title"])), lambda t: F.length(t) > 0)
-    most = F.array_max(F.transform(F.array_distinct(titles), lambda t: F.size(F.filter(titles, lambda u: u == t))))
+    most = X.let(titles, lambda ts: F.array_max(F.transform(F.array_distinct(ts), lambda t: F.size(F.filter(ts, lambda u: u == t)))))
     spread = F.size(F.array_distinct(F.transform(prior, lambda p: p["repo_key"]))) / total
     secs, age = d("fork_to_pr_secs"), d("account_age_days")
     marks = markers()

@@ -8,7 +8,7 @@ signature is computed in its own task, without a shuffle.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -35,29 +35,6 @@ def _bits(h: np.ndarray, width: int) -> int:
     return int(((2 * up > len(h)).astype(np.uint64) << np.arange(width, dtype=np.uint64)).sum(dtype=np.uint64))
 
 
-def _column(values: list, n: int) -> pd.Series:
-    return pd.Series(values, dtype="Int64") if n else pd.Series([], dtype="Int64")
-
-
-@F.pandas_udf(T.LongType())
-def simhash60(hashes: pd.Series) -> pd.Series:
-    """60 bits, each set if more shingles have it than not; null under three shingles."""
-    return _column([None if h is None or len(h) < LEAST_SHINGLES else _bits(np.asarray(h).astype(np.uint64), 60) for h in hashes], len(hashes))
-
-
-@F.pandas_udf(T.LongType())
-def simhash64(shingles: pd.Series) -> pd.Series:
-    """The same over 64 bits of FNV-1a, as a signed number."""
-    out = [None if s is None or len(s) < LEAST_SHINGLES else int(np.uint64(_bits(H.fnv([x.encode() for x in s]), 64)).view(np.int64)) for s in shingles]
-    return _column(out, len(shingles))
-
-
-@F.pandas_udf(T.ArrayType(T.LongType()))
-def minhash31(hashes: pd.Series) -> pd.Series:
-    """128 minima of (a x + b) mod 2^31-1; null under three shingles."""
-    return pd.Series([None if h is None or len(h) < LEAST_SHINGLES else ((A[:, None] * (np.unique(h) % P31) + B[:, None]) % P31).min(1) for h in hashes], dtype=object)
-
-
 def _seeds() -> np.ndarray:
     out, s = [], np.array([FAMILY_SEED], np.uint64)
     for _ in range(PERMS):
@@ -66,22 +43,44 @@ def _seeds() -> np.ndarray:
     return np.array(out, np.uint64)
 
 
-@F.pandas_udf(T.ArrayType(T.LongType()))
-def minhash64(shingles: pd.Series) -> pd.Series:
-    """128 minima of splitmix64(FNV-1a ^ seed), as signed numbers."""
-    seeds = _seeds()[:, None]
-    one = lambda s: H.splitmix64(np.unique(H.fnv([x.encode() for x in s]))[None, :] ^ seeds).min(1).view(np.int64)
-    return pd.Series([None if s is None or len(s) < LEAST_SHINGLES else one(s) for s in shingles], dtype=object)
-
-
-def diff_simhash(diff: Column, exact: bool = False) -> Column:
-    toks = X.tokens(D.normalize_patch(diff))
-    return simhash64(X.shingles(toks, SIM_SHINGLE)) if exact else simhash60(shingle_hashes(toks, SIM_SHINGLE))
-
-
-def text_minhash(text: Column, exact: bool = False) -> Column:
-    toks = X.tokens(text)
-    return minhash64(X.shingles(toks, TEXT_SHINGLE)) if exact else minhash31(shingle_hashes(toks, TEXT_SHINGLE))
+def _sim(x: pa.Array, exact: bool) -> int | None:
+    """A bit is set if more shingles have it than not."""
+    if len(x) < LEAST_SHINGLES:
+        return None
+    if exact:
+        return int(np.uint64(_bits(H.fnv([v.encode() for v in x.to_pylist()]), 64)).view(np.int64))
+    return _bits(x.to_numpy().astype(np.uint64), 60)
+
+
+def _mins(x: pa.Array, exact: bool) -> np.ndarray | None:
+    if len(x) < LEAST_SHINGLES:
+        return None
+    if exact:
+        return H.splitmix64(np.unique(H.fnv([v.encode() for v in x.to_pylist()]))[None, :] ^ _seeds()[:, None]).min(1).view(np.int64)
+    return ((A[:, None] * (np.unique(x.to_numpy()) % P31) + B[:, None]) % P31).min(1)
+
+
+def signed(df: DataFrame, diff: Column | None = None, text: Column | None = None, exact: bool = False) -> DataFrame:
+    """df with sim (of the diff's added lines) and mins (of the text), null under three shingles.
+
+    The portable family has 60 bits and minima of (a x + b) mod 2^31-1; exact is 64-bit
+    FNV-1a with splitmix64.  Shingles are hashed in the JVM (portable), the rest is numpy.
+    """
+    made = lambda toks, n: X.shingles(toks, n) if exact else shingle_hashes(toks, n)
+    parts = {}
+    if diff is not None:
+        parts["sim"] = (made(X.tokens(D.normalize_patch(diff)), SIM_SHINGLE), _sim, T.LongType(), pa.int64())
+    if text is not None:
+        parts["mins"] = (made(X.tokens(text), TEXT_SHINGLE), _mins, T.ArrayType(T.LongType()), pa.list_(pa.int64()))
+    schema = T.StructType([*df.schema.fields, *[T.StructField(k, v[2]) for k, v in parts.items()]])
+    n, todo = len(df.columns), [(f, kind) for _, f, _, kind in parts.values()]
+
+    def run(batches):
+        for batch in batches:
+            new = [pa.array([f(batch.column(n + k).slice(i, 1).flatten(), exact) for i in range(len(batch))], kind) for k, (f, kind) in enumerate(todo)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:n], *new], names=schema.names)
+
+    return df.withColumns({f"_{k}": v[0] for k, v in parts.items()}).mapInArrow(run, schema)
 
 
 def hamming(a: Column, b: Column) -> Column:
