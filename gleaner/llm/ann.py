@@ -7,7 +7,8 @@ distance is |q|^2 - 2 sum_m <q, word_m> + norm, a sum of table look-ups.  The RE
 best by these sums are ranked again by exact distances.
 
 Every row is a query.  The first books' words are the cells of an inverted file:
-as many books as give about CELL_ROWS rows a cell.  A query probes the PROBES
+as many books as give about CELL_ROWS rows a cell (none for a table of one cell).
+A query probes the PROBES
 nearest cells; queries and members meet by a shuffle on the cell, each cell in
 blocks of at most BLOCK members, so no task holds a cell of any size.
 
@@ -23,7 +24,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gleaner.llm.common import written
@@ -162,11 +163,9 @@ def neighbours(table: DataFrame, top: int = TOP, id_col: str = "vec_id", vec_col
     sample = v.orderBy(F.xxhash64("id"), "id").limit(FIT_ROWS).toArrow()
     books = train(_matrix(sample.column("v").combine_chunks(), dim))
     held = spark.sparkContext.broadcast(books.astype(np.float32))
-    levels = 1
+    levels = 0  # a small table is one cell
     while WORDS ** levels * CELL_ROWS < n and levels < BOOKS:
         levels += 1
-    from pyspark.sql import Window
-
     v = v.withColumn("nth", F.row_number().over(Window.partitionBy("id").orderBy(F.xxhash64("v"))).cast("long"))
 
     def code(batches):
