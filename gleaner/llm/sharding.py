@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from gleaner.llm.common import fresh, packed, shared_dir, small, written
 
-NEW_SHARDS, BLOCK_IDS, FILE_BYTES = 24, 4096, 256 << 20
+NEW_SHARDS, BLOCK_IDS = 24, 4096
 #: null doc_ids: 4096 blocks before all others, by text hash
 NULL_BLOCK = -(1 << 62)
 LAST = (1 << 62) + ((1 << 62) - 1)
@@ -132,8 +132,8 @@ def _keyed(docs: DataFrame, shard_col: str, slim: bool) -> DataFrame:
     ).withColumn("block", F.coalesce(F.floor(F.col("id") / F.lit(BLOCK_IDS)), NULL_BLOCK + F.shiftrightunsigned(F.col("tie").bitwiseXOR(F.lit(-(1 << 63))), 52)))
 
 
-def _planned(keyed: DataFrame, new_shards: int, capacity: list[int] | None) -> tuple[DataFrame, DataFrame, int, list[int], int]:
-    """(base offset of each block, byte ranges with their new shards, number of ranges, shards that gain or lose bytes, greatest capacity)."""
+def _planned(keyed: DataFrame, new_shards: int, capacity: list[int] | None) -> tuple[DataFrame, DataFrame, int, list[int]]:
+    """(base offset of each block, byte ranges with their new shards, number of ranges, shards that gain or lose bytes)."""
     spark = keyed.sparkSession
     sums = written(keyed.groupBy("old", "block").agg(F.sum("bytes").alias("size")))
     # a row for each old shard
@@ -149,7 +149,7 @@ def _planned(keyed: DataFrame, new_shards: int, capacity: list[int] | None) -> t
         plan += [(r[0], a, LAST if k == len(parts) - 1 else b, j, i == j) for k, (a, b, j) in enumerate(parts)]
     ranges = spark.createDataFrame(plan, "old string, first long, past long, new_shard int, stays boolean")
     base = sums.withColumn("base", F.sum("size").over(Window.partitionBy("old").orderBy("block")) - F.col("size"))
-    return base, ranges, len(plan), sorted(touched), max(capacity, default=0)
+    return base, ranges, len(plan), sorted(touched)
 
 
 def _place(keyed: DataFrame, base: DataFrame, ranges: DataFrame, n_ranges: int) -> DataFrame:
@@ -167,7 +167,7 @@ def placed(docs: DataFrame, shard_col: str = "source", new_shards: int = NEW_SHA
     A column of docs that has one of these names stays; the new one then has underscores before its name.
     """
     keyed = _keyed(docs, shard_col, slim)
-    base, ranges, n, _, _ = _planned(keyed, new_shards, capacity)
+    base, ranges, n, _ = _planned(keyed, new_shards, capacity)
     return _shown(docs, _place(keyed, base, ranges, n), slim)
 
 
@@ -192,7 +192,7 @@ def reshard(docs: DataFrame, path: str | None = None, shard_col: str = "source",
     range, and only documents of blocks that a range's end cuts are put in order.
     """
     keyed = _keyed(docs, shard_col, False)
-    base, ranges, n, touched, most = _planned(keyed.drop("row"), new_shards, capacity)
+    base, ranges, n, touched = _planned(keyed.drop("row"), new_shards, capacity)
     place = _place(_keyed(docs, shard_col, True), base, ranges, n)
     if touched:
         b, r = base.alias("b"), small(ranges, n).alias("r")
@@ -203,9 +203,10 @@ def reshard(docs: DataFrame, path: str | None = None, shard_col: str = "source",
         cut = written(_place(_keyed(docs, shard_col, True).join(small(blocks.filter("to is null")), ["old", "block"], "left_semi"), base, ranges, n).groupBy("old", "block", "id", "tie").agg(F.min("new_shard").alias("own")))
         c = small(cut.select(*[F.col(x).alias(f"c_{x}") for x in cut.columns]))
         joined = joined.join(c, F.expr("to is null and old = c_old and block = c_block and id <=> c_id and tie = c_tie"), "left")
-        name, part = fresh(docs, "new_shard"), max(1, -(-most // FILE_BYTES))
+        name = fresh(docs, "new_shard")
         moved = joined.withColumn("shard", F.coalesce("to", "c_own")).filter(F.col("shard").isin(touched))
-        moved = moved.repartition("shard", F.pmod(F.xxhash64("id", "tie"), F.lit(part))).select("row.*", F.col("shard").alias(name))
+        # adaptive execution splits a large shard over tasks and puts small ones together
+        moved = moved.select("row.*", F.col("shard").alias(name)).hint("rebalance", F.col(name))
         moved.write.partitionBy(name).parquet(path or shared_dir(docs.sparkSession))
     return _shown(docs, place, True)
 
