@@ -33,7 +33,8 @@ def count(col: Column, pattern: str) -> Column:
 
 
 def occurrences(col: Column, phrase: str) -> Column:
-    return count(col, literal(phrase))
+    """How often phrase is in col without overlaps: what its removal shortens, which is far cheaper than a regex."""
+    return (F.length(col) - F.length(F.replace(col, F.lit(phrase), F.lit("")))) / len(phrase)
 
 
 def contains_any(col: Column, phrases: Sequence[str]) -> Column:
@@ -75,7 +76,8 @@ def shingles(toks: Column, n: int) -> Column:
 
 
 def _rate(num: Column, den: Column, most: float) -> Column:
-    return F.when(den > 0, F.least(num * 100.0 / den, F.lit(most))).otherwise(F.lit(0.0))
+    # no branch, so that common parts are computed once a row
+    return F.coalesce(F.least(num * 100.0 / F.nullif(den, F.lit(0)), F.lit(most)), F.lit(0.0))
 
 
 def style(col: Column) -> dict[str, Column]:
