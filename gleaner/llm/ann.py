@@ -3,14 +3,14 @@
 A vector is the sum of one word from each of BOOKS full-dimensional codebooks,
 learned one after another on the residuals; the encoding is a beam search over
 all books.  With the code goes the squared norm of the decoded vector, so a
-distance is |q|^2 - 2 sum_m <q, word_m> + norm, a sum of table look-ups.  The RERANK
-best by these sums are ranked again by exact distances.
+distance is |q|^2 - 2 sum_m <q, word_m> + norm, a sum of table look-ups.  The best
+by these sums are ranked again by exact distances.
 
-Every row is a query.  The first books' words are the cells of an inverted file:
-as many books as give about CELL_ROWS rows a cell (none for a table of one cell).
-A query probes the PROBES
-nearest cells; queries and members meet by a shuffle on the cell, each cell in
-blocks of at most BLOCK members, so no task holds a cell of any size.
+Every row is a query and is scored against the codes of all rows, block by block:
+rows fall into blocks of about BLOCK by hash, each block of queries meets each block
+of members in a task of its own, and the RERANK best of each block are ranked again.
+As both numbers are fixed, the recall is the same at every table size; the work
+grows with the square of the rows.
 
 Codebooks are fitted on at most FIT_ROWS rows chosen by hash; all rows are
 encoded, searched and queried.  Vectors that are null, of another length than
@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from gleaner.llm.common import written
 
 BOOKS, WORDS, BEAM, ROUNDS = 8, 64, 8, 12
-FIT_ROWS, CELL_ROWS, PROBES, BLOCK, RERANK, TOP = 20_000, 1024, 24, 8192, 128, 10
+FIT_ROWS, BLOCK, RERANK, TOP = 20_000, 8192, 1024, 10
 
 
 def _nearest(x: np.ndarray, c: np.ndarray) -> np.ndarray:
@@ -83,27 +83,6 @@ def decode(code: np.ndarray, books: np.ndarray) -> np.ndarray:
     return sum(books[m][code[:, m]] for m in range(code.shape[1]))
 
 
-def cells(code: np.ndarray, levels: int) -> np.ndarray:
-    out = np.zeros(len(code), np.int64)
-    for m in range(levels):
-        out = out * WORDS + code[:, m]
-    return out
-
-
-def probes(x: np.ndarray, books: np.ndarray, levels: int, n: int) -> np.ndarray:
-    """The n cells whose sum of words is nearest, by beam search over the first books."""
-    cell, rest = np.zeros((len(x), 1), np.int64), x[:, None, :]
-    for b in books[:levels]:
-        err = ((rest * rest).sum(2)[:, :, None] - 2 * rest @ b.T) + (b * b).sum(1)
-        flat = err.reshape(len(x), -1)
-        k = min(n, flat.shape[1])
-        best = np.argpartition(flat, k - 1, 1)[:, :k]
-        src, word = best // len(b), best % len(b)
-        cell = np.take_along_axis(cell, src, 1) * WORDS + word
-        rest = np.take_along_axis(rest, src[:, :, None], 1) - b[word]
-    return cell
-
-
 def _matrix(col: pa.Array, dim: int) -> np.ndarray:
     flat = col.flatten().to_numpy(zero_copy_only=False)
     return flat.reshape(-1, dim).astype(np.float32)
@@ -117,7 +96,7 @@ def _vectors(table: DataFrame, id_col: str, vec_col: str) -> tuple[DataFrame, in
 
 
 def _search(dim: int, top: int, held):
-    """One block of a cell's members and the queries that probe it: the top of each query."""
+    """A block of members and a block of queries: the top of each query among the members."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         empty = pa.table({"q": pa.array([], pa.int64()), "qn": pa.array([], pa.int64()), "id": pa.array([], pa.int64()), "n": pa.array([], pa.int64()), "d": pa.array([], pa.float32())})
@@ -130,16 +109,17 @@ def _search(dim: int, top: int, held):
         norm = left.column("norm").to_numpy()
         out = []
         qs, qn, qv = right.column("q").to_numpy(), right.column("qn").to_numpy(), _matrix(right.column("qv").combine_chunks(), dim)
-        for at in range(0, len(qs), 512):
-            q, own = qv[at : at + 512], slice(at, at + 512)
-            lut = np.einsum("qd,mwd->mqw", q, books, optimize=True)
-            s = np.broadcast_to(norm, (len(q), len(x))).copy()
+        for at in range(0, len(qs), 128):
+            q, own = qv[at : at + 128], slice(at, at + 128)
+            lut = 2 * np.einsum("qd,mwd->mwq", q, books, optimize=True)
+            s = np.repeat(norm[:, None], len(q), 1)
             for m in range(len(books)):
-                s -= 2 * lut[m][:, code[:, m]]
+                s -= lut[m][code[:, m]]
+            s = np.ascontiguousarray(s.T)
             s[(ids[None, :] == qs[own][:, None]) & (nth[None, :] == qn[own][:, None])] = np.inf
             r = min(max(RERANK, 2 * top), len(x))
             short = np.argpartition(s, r - 1, 1)[:, :r] if r < len(x) else np.broadcast_to(np.arange(len(x)), (len(q), len(x)))
-            exact = ((x[short] - q[:, None, :]) ** 2).sum(2)
+            exact = np.stack([((x[near] - v) ** 2).sum(1) for near, v in zip(short, q)])
             exact[np.isinf(np.take_along_axis(s, short, 1))] = np.inf
             o = np.lexsort((ids[short], exact), axis=1)[:, :top]
             d = np.take_along_axis(exact, o, 1)
@@ -163,9 +143,6 @@ def neighbours(table: DataFrame, top: int = TOP, id_col: str = "vec_id", vec_col
     sample = v.orderBy(F.xxhash64("id"), "id").limit(FIT_ROWS).toArrow()
     books = train(_matrix(sample.column("v").combine_chunks(), dim))
     held = spark.sparkContext.broadcast(books.astype(np.float32))
-    levels = 0  # a small table is one cell
-    while WORDS ** levels * CELL_ROWS < n and levels < BOOKS:
-        levels += 1
     v = v.withColumn("nth", F.row_number().over(Window.partitionBy("id").orderBy(F.xxhash64("v"))).cast("long"))
 
     def code(batches):
@@ -176,7 +153,6 @@ def neighbours(table: DataFrame, top: int = TOP, id_col: str = "vec_id", vec_col
                 continue
             c = encode(x, books)
             y = decode(c, books)
-            p = probes(x, books, levels, PROBES)
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0),
@@ -184,22 +160,17 @@ def neighbours(table: DataFrame, top: int = TOP, id_col: str = "vec_id", vec_col
                     batch.column(1),
                     pa.array([r.tobytes() for r in c], pa.binary()),
                     pa.array((y * y).sum(1), pa.float32()),
-                    pa.array(cells(c, levels)),
-                    pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * p.shape[1]), pa.array(p.ravel())),
                 ],
-                ["id", "nth", "v", "code", "norm", "cell", "probes"],
+                ["id", "nth", "v", "code", "norm"],
             )
 
-    coded = written(v.select("id", "v", "nth").mapInArrow(code, "id long, nth long, v array<float>, code binary, norm float, cell long, probes array<long>"))
-    # a cell has as many blocks as its size asks for; a query goes to each of them
-    size = coded.groupBy("cell").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("blocks"))
-    member = coded.join(size, "cell").withColumn("block", F.pmod(F.xxhash64("id", "nth"), F.col("blocks")).cast("int"))
-    query = (
-        coded.select(F.col("id").alias("q"), F.col("nth").alias("qn"), F.col("v").alias("qv"), F.explode("probes").alias("qcell"))
-        .join(size.select(F.col("cell").alias("qcell"), F.col("blocks").alias("qblocks")), "qcell")
-        .select("q", "qn", "qv", "qcell", F.explode(F.sequence(F.lit(0), F.col("qblocks") - 1)).alias("qblock"))
-    )
-    near = member.groupBy("cell", "block").cogroup(query.groupBy("qcell", "qblock")).applyInArrow(_search(dim, top, held), "q long, qn long, id long, n long, d float")
+    coded = written(v.select("id", "v", "nth").mapInArrow(code, "id long, nth long, v array<float>, code binary, norm float"))
+    blocks = -(-n // BLOCK)
+    coded = coded.withColumn("block", F.pmod(F.xxhash64("id", "nth"), F.lit(blocks)).cast("int"))
+    each = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    member = coded.withColumn("qblock", each)
+    query = coded.select(F.col("id").alias("q"), F.col("nth").alias("qn"), F.col("v").alias("qv"), F.col("block").alias("own"), each.alias("other"))
+    near = member.groupBy("block", "qblock").cogroup(query.groupBy("other", "own")).applyInArrow(_search(dim, top, held), "q long, qn long, id long, n long, d float")
     best = near.groupBy("q", "qn").agg(F.slice(F.array_sort(F.collect_list(F.struct("d", "id", "n"))), 1, top).alias("l"))
     return best.select(F.col("q").alias("vec_id"), F.posexplode("l")).select(
         "vec_id", (F.col("pos") + 1).cast("int").alias("rank"), F.col("col.id").alias("neighbour_id"), F.round(F.col("col.d").cast("double"), 6).alias("distance")

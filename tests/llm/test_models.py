@@ -134,3 +134,22 @@ def test_neighbours_recall(spark):
     assert min(got[5])[1] == 5  # the repeated row is its twin's nearest
     few = spark.createDataFrame(data[:3], schema)
     assert ann.neighbours(few).count() == 6 and ann.neighbours(few.limit(0)).count() == 0
+
+
+def test_neighbours_recall_on_isotropic_vectors(spark):
+    """Nothing to tell cells by: recall must not depend on it, nor on the table's size."""
+    r = np.random.default_rng(8)
+    for n in (1500, 66_000):
+        x = r.normal(size=(n, 64)).astype(np.float32)
+        x /= np.linalg.norm(x, axis=1)[:, None]
+        flat = pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), 64).cast(pa.list_(pa.float32()))
+        table = spark.createDataFrame(pa.table({"vec_id": pa.array(np.arange(n)), "embedding": flat})).repartition(8)
+        asked = sorted(r.choice(n, 200, replace=False).tolist())
+        got = {i: set() for i in asked}
+        out = ann.neighbours(table)
+        for row in out.filter(out["vec_id"].isin(asked)).collect():
+            got[row["vec_id"]].add(row["neighbour_id"])
+        d = (x * x).sum(1)[None, :] - 2 * x[asked] @ x.T
+        d[np.arange(200), asked] = np.inf
+        top = np.argpartition(d, 9, 1)[:, :10]
+        assert sum(len(got[i] & set(t.tolist())) for i, t in zip(asked, top)) >= 0.9 * 2000, n
