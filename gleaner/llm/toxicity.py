@@ -11,7 +11,9 @@ rows without a language, share one of all languages.
 Labels are of whole documents, most of whose words are harmless, so the toxic
 training samples are the stretches of toxic documents whose words are far more
 frequent there (LIFT times, in LEAST toxic documents) than in ordinary
-ones.  The toxic compressor has the ordinary dictionary before its own content;
+ones of the same language.  All that chance can't account for, and the TELLING
+most telling in any case, are in the toxic dictionary, which grows with them from
+TOXIC_BYTES.  The toxic compressor has the ordinary dictionary before its own content;
 so both know ordinary text equally well and a gain comes from toxic content.
 
 At most FIT_TOXIC + FIT_ORDINARY labelled documents, chosen by hash, are used to
@@ -123,41 +125,57 @@ def fit(docs: DataFrame, labels: DataFrame) -> dict[str | None, Model]:
     rows = [(i, bool(x), t, g) for i, x, t, g in text.toLocalIterator()]
     out = {}
     for lang in sorted({g for _, x, _, g in rows if g is not None}):
-        own = [r[:3] for r in rows if r[3] == lang]
-        if sum(x for _, x, _ in own) >= LEAST_TOXIC and (m := fit_rows(own)):
+        own = [r for r in rows if r[3] == lang]
+        if sum(r[1] for r in own) >= LEAST_TOXIC and (m := fit_rows(own)):
             out[lang] = m
-    if m := fit_rows([r[:3] for r in rows]):
+    if m := fit_rows(rows):
         out[None] = m
     return out
 
 
-def fit_rows(rows: list[tuple[int, bool, str]]) -> Model | None:
-    """Model of (doc_id, toxic, text); half of each class trains, the other half calibrates."""
-    rows = sorted(rows, key=lambda r: (r[0], r[2]))
-    random.Random(7).shuffle(rows)
-    toxic, plain = ([t.lower() for _, x, t in rows if x == want] for want in (True, False))
-    if len(toxic) < 2 or len(plain) < 2:
-        return None
-    own, other = _once(toxic[::2]), plain[::2]
+def _telling(own: list[str], other: list[str]) -> set[str]:
+    """The words far more frequent in own (toxic) texts than in others."""
     df, dg = Counter(), Counter()
     for t in own:
         df.update(set(_WORD.findall(t)))
     for t in other:
         dg.update(set(_WORD.findall(t)))
     far = {w: n * math.log(n / len(own) * len(other) / (dg[w] + 0.5)) for w, n in df.items() if n >= LEAST and n / len(own) > LIFT * (dg[w] + 1) / max(len(other), 2 * LIFT)}
-    telling = set(sorted(far, key=lambda w: (-far[w], w))[:TELLING])
+    p = len(own) / (len(own) + len(other))
+
+    def chance(w: str) -> float:
+        """At most so many of all words would by chance have their documents this much among the toxic ones (Chernoff)."""
+        n, m = df[w], dg[w]
+        return len(df) * math.exp(-(n * math.log(n / (n + m) / p) + (m and m * math.log(m / (n + m) / (1 - p)))))
+
+    return {w for k, w in enumerate(sorted(far, key=lambda w: (-far[w], w))) if k < TELLING or chance(w) < 0.05}
+
+
+def fit_rows(rows: list[tuple[int, bool, str, str | None]]) -> Model | None:
+    """Model of (doc_id, toxic, text, language); half of each class trains, the other half calibrates."""
+    rows = sorted(rows, key=lambda r: (r[0], r[2]))
+    random.Random(7).shuffle(rows)
+    toxic, plain = ([(t.lower(), g) for _, x, t, g in rows if x == want] for want in (True, False))
+    if len(toxic) < 2 or len(plain) < 2:
+        return None
+    lang = dict(toxic[::2])
+    own, other = _once([t for t, _ in toxic[::2]]), plain[::2]
+    # each language by itself, so that the commonest doesn't set the counts of all
+    telling = set().union(*(_telling([t for t in own if lang[t] == g], [t for t, h in other if h == g]) for g in set(lang.values())))
+    other = [t for t, _ in other]
     samples = [f" {w} ".encode() for t in own for w in _WORD.findall(t) if w in telling]
     if not samples:
         return None
     parts = [b[i : i + 256] for b in (t.encode() for t in other) for i in range(0, len(b), 256)]
     random.Random(8).shuffle(parts)
     # a trained dictionary's most useful content is at its end; the commonest stretches follow whole
-    common = b"".join(x for x, _ in reversed(Counter(samples).most_common(TOXIC_BYTES // 16)))
-    content = (_train(TOXIC_BYTES, samples * 3) + common)[-TOXIC_BYTES:]
+    common = b"".join(x for x, _ in reversed(Counter(samples).most_common()))
+    size = max(TOXIC_BYTES, 2 * len(common))
+    content = (_train(size, samples * 3) + common)[-size:]
     model = Model(_train(ORDINARY_BYTES, parts[:4000]), content, 0.0)
     both = model.compressors()
-    a = scored(pa.array(toxic[1::2], pa.large_string()), both)[0]
-    b = scored(pa.array(plain[1::2], pa.large_string()), both)[0]
+    a = scored(pa.array([t for t, _ in toxic[1::2]], pa.large_string()), both)[0]
+    b = scored(pa.array([t for t, _ in plain[1::2]], pa.large_string()), both)[0]
     # the least threshold of those with the best balance of hits and (dearer) false alarms
     model.least = max(np.arange(1.0, 40.0, 0.5), key=lambda h: ((a >= h).mean() - FALSE_COST * (b >= h).mean(), -h))
     return model

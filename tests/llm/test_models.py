@@ -153,3 +153,23 @@ def test_neighbours_recall_on_isotropic_vectors(spark):
         d[np.arange(200), asked] = np.inf
         top = np.argpartition(d, 9, 1)[:, :10]
         assert sum(len(got[i] & set(t.tolist())) for i, t in zip(asked, top)) >= 0.9 * 2000, n
+
+
+def test_toxic_dictionary_grows_with_its_words():
+    r = random.Random(9)
+    make = lambda: "".join(r.choice("bcdfghjklmnpqrstvwz") + r.choice("aeiou") for _ in range(5))
+    bad, plain = [make() for _ in range(20)], [make() for _ in range(3000)]
+    texts = []
+    for k in range(3200):
+        t = r.choices(plain, k=30)
+        for w in r.sample(bad, 2) * 2 if k % 8 == 0 else ():
+            t.insert(r.randrange(len(t)), w)
+        texts.append((k, k % 8 == 0, " ".join(t), "en"))
+    model = toxicity.fit_rows(texts[:2400])
+    assert all(f" {w} ".encode() in model.toxic for w in bad)
+    hit = toxicity.scored(pa.array([t for _, _, t, _ in texts[2400:]], pa.large_string()), model.compressors())[0] >= model.least
+    toxic = np.array([x for _, x, _, _ in texts[2400:]])
+    assert hit[toxic].mean() >= 0.9 and hit[~toxic].mean() <= 0.03
+    # a rare language's words are in the dictionary that all languages share
+    other = [(5000 + k, k % 2 == 0, " ".join(r.choices(plain, k=30)) + (" grubwort" if k % 2 == 0 else ""), "fr") for k in range(30)]
+    assert b" grubwort " in toxicity.fit_rows(texts + other).toxic
