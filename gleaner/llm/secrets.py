@@ -6,10 +6,14 @@ kinds of characters) a prefix tree of the credentials is built over character
 classes, and states whose next-symbol frequencies don't differ by Hoeffding's
 bound are merged, red-blue, until a probabilistic automaton remains.  Ordinary
 words give a background automaton in the same way.  Every candidate in every
-text, a run of at least LEAST characters that credentials can have, is scored by
+text is scored by
 the log likelihood per character under its best format less that of the
 background; the threshold is calibrated on labelled rows that weren't trained on.
 
+Candidates are the values after a credential's name, of any length (one in quotes
+whole, whatever its characters; one without them up to white space, & , or ;), and elsewhere
+runs of at least LEAST characters that credentials can have.
+
 At most FIT_ROWS labelled credentials and as many other candidates, chosen by
 hash, are used to fit; all candidates of whole texts are scored.  Null and empty
 texts have no candidate.  Repeated rows and repeated strings are reported each
@@ -31,7 +35,10 @@ from gleaner.llm import kernel as K
 from gleaner.llm.common import written
 
 LEAST, FIT_ROWS, ALPHA, FORMAT_ROWS = 16, 2000, 0.05, 8
-_NAMED = regex.compile(r"(?i)(?:token|secret|passwo?r?d|passwd|api[_-]?key|access[_-]?key|auth|credential)s?[\"']?\s*[:=]\s*[\"']?$")
+_NAMED = regex.compile(
+    rb"(?i)(?:token|secret|passwo?r?d|passwd|api[_-]?key|access[_-]?key|auth|credential)s?[\"']?\s*[:=]\s*"
+    rb"(?:\"(?P<v>(?:[^\"\\\n]|\\.)+)\"|'(?P<v>(?:[^'\\\n]|\\.)+)'|[\"']?(?P<v>[^\s\"'&,;]*[^\s\"'&,;()\[\]{}<>]))"
+)
 _CAND = np.zeros(256, bool)
 for _c in b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_-+/=.":
     _CAND[_c] = True
@@ -153,25 +160,33 @@ class Automaton:
 def candidates(arr: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray, list[bool]]:
     """(strings, rows, byte offsets in the text, whether a credential's name comes before)."""
     data, off = K.flat(arr, lower=False)
+    raw = data.tobytes()
+    whole, spans = np.zeros(len(data), bool), []
+    for m in _NAMED.finditer(raw, overlapped=True):
+        a, b = m.span("v")
+        if np.searchsorted(off, m.start(), "right") != np.searchsorted(off, a, "right"):
+            continue  # the name ends its text
+        if spans and spans[-1][1] <= a and spans[-1][1] > m.start():
+            spans.pop()  # what follows the name before was a name itself
+        if not spans or spans[-1][1] < b:
+            spans.append((a, b))
+        whole[m.start() : b] = True
+    n = len(spans)
     ok = _CAND[data]
     cut = np.flatnonzero(np.diff(ok.view(np.int8), prepend=np.int8(0)))
     ends = np.append(cut[1:], len(ok))
     use = ok[cut] if len(cut) else np.zeros(0, bool)
     s, e = cut[use], ends[use]
-    big = e - s >= LEAST
-    s, e = s[big], e[big]
-    raw = data.tobytes()
+    held = np.concatenate([[0], np.cumsum(whole)])
+    big = (e - s >= LEAST) & (held[e] == held[s])
+    own = np.array(spans, np.int64).reshape(-1, 2)
+    s, e = np.concatenate([own[:, 0], s[big]]), np.concatenate([own[:, 1], e[big]])
+    named = np.arange(len(s)) < n
+    o = np.argsort(s, kind="stable")
+    s, e, named = s[o], e[o], named[o]
     row = np.searchsorted(off, s, "right") - 1
-    text = [raw[a:b].decode() for a, b in zip(s.tolist(), e.tolist())]
-    before = [raw[max(o, a - 40) : a].decode(errors="ignore") for a, o in zip(s.tolist(), off[row].tolist())]
-    named = [bool(_NAMED.search(x)) for x in before]
-    # key=value without quotes is one run: the value is what follows the name
-    for k, t in enumerate(text):
-        head, eq, tail = t.partition("=")
-        if eq and len(tail) >= LEAST and _NAMED.search(head + eq):
-            text[k], named[k] = tail, True
-            s[k] += len(head) + 1
-    return text, row, s - off[row], named
+    text = [raw[a:b].decode(errors="replace") for a, b in zip(s.tolist(), e.tolist())]
+    return text, row, s - off[row], named.tolist()
 
 
 def _extract(batches):

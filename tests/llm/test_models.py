@@ -173,3 +173,15 @@ def test_toxic_dictionary_grows_with_its_words():
     # a rare language's words are in the dictionary that all languages share
     other = [(5000 + k, k % 2 == 0, " ".join(r.choices(plain, k=30)) + (" grubwort" if k % 2 == 0 else ""), "fr") for k in range(30)]
     assert b" grubwort " in toxicity.fit_rows(texts + other).toxic
+
+
+def test_named_values_are_candidates_at_any_length(spark, frame):
+    texts = ['a password: "hunter2pass" b', "token='abc123def456'", "password=hunter2pass, x", "password = S!@#$x9% y", 'secret: "two words!"', "AWS_SECRET_ACCESS_KEY=k1", "ends with token=", "next thisisalongrunofcharacters"]
+    text, row, at, named = secrets.candidates(pa.array(texts, pa.large_string()))
+    assert list(zip(row.tolist(), text, named)) == [(0, "hunter2pass", True), (1, "abc123def456", True), (2, "hunter2pass", True), (3, "S!@#$x9%", True), (4, "two words!", True), (5, "k1", True), (7, "thisisalongrunofcharacters", False)]
+    assert all(texts[r].encode()[a:].startswith(t.encode()) for t, r, a in zip(text, row, at))
+    r = random.Random(6)
+    many = [f'{words(k, 20)} password: "{"".join(r.choices("abcdef0123456789!@#", k=11))}" ' + "".join(words(k + 900, 6).split()) for k in range(200)]
+    got = secrets.scan(frame(rows(many))).collect()
+    assert sum(x["is_secret"] for x in got if len(x["candidate"]) == 11) >= 190
+    assert sum(x["is_secret"] for x in got if len(x["candidate"]) != 11) <= 4
