@@ -11,10 +11,11 @@ candidate that passes the q-gram lemma (k edits destroy at most 5k of the item's
 substring of the document around it (Myers' bit-parallel form of Sellers'
 algorithm), in bytes of the normalised text.
 
-Document windows begin at every STRIDE-th word and item windows at every word of
-the item, so that each whole occurrence holds several aligned pairs of windows;
-an item is long enough for several, which together with the walks reaches the
-target recall.  Windows of short items use an early part of the walk (classes).
+Item windows begin at every word of the item that leaves room for one, document
+windows at every STRIDE-th word, or more often if an item of the class has fewer
+windows than that, so each whole occurrence holds an aligned pair of windows.
+Windows of short items use an early part of the walk (classes); as they have few
+windows, or one, theirs begin at every word of a document and have more walks.
 
 Normalised text: lower case, every run of characters that are neither letters
 nor digits is one space.  An item leaks into a document if some substring of the
@@ -35,30 +36,36 @@ from pyspark.sql import functions as F
 
 from gleaner.llm import kernel as K
 
-STRIDE, WALKS, SAMPLED, MAX_EDITS = 4, 5, 10, 0.1
+STRIDE, SAMPLED, MAX_EDITS = 4, 10, 0.1
 #: (steps of the walk, bytes that an item window must have at least)
 CLASSES = ((64, 40), (28, 16), (12, 8))
+#: independent walks of each class
+WALKS = {64: 5, 28: 24, 12: 24}
 #: bytes of benchmark text that one pass holds; a larger benchmark takes several passes
 PASS_BYTES = 64 << 20
 
 _rng = np.random.default_rng(977)
-_MOVE = _rng.integers(0, 2, (WALKS, CLASSES[0][0], 256), dtype=np.uint8)
-_PICK = {steps: [set(_rng.choice(steps, SAMPLED, replace=False).tolist()) for _ in range(WALKS)] for steps, _ in CLASSES}
+_MOVE = _rng.integers(0, 2, (5, CLASSES[0][0], 256), dtype=np.uint8)
+_PICK = {steps: [set(_rng.choice(steps, SAMPLED, replace=False).tolist()) for _ in range(5)] for steps, _ in CLASSES}
+_MOVE = np.concatenate([_MOVE, _rng.integers(0, 2, (max(WALKS.values()) - 5, CLASSES[0][0], 256), dtype=np.uint8)])
+for _c, _p in _PICK.items():
+    _p += [set(_rng.choice(_c, SAMPLED, replace=False).tolist()) for _ in range(WALKS[_c] - 5)]
 
 
 def keys(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, classes: tuple[int, ...]) -> dict[tuple[int, int], np.ndarray]:
     """{(steps, walk): key of the window at each start}; past its end a window reads spaces."""
     out = {}
     pad = np.concatenate([data, np.full(CLASSES[0][0] + 1, 32, np.uint8)])
-    steps = max(classes, default=0)
+    steps, every = max(classes, default=0), classes
     # only windows that near the end of their text can pass it
     near = np.flatnonzero(ends - starts < steps)
     last = ends[near]
     ch, move = np.empty(len(starts), np.uint8), np.empty(len(starts), np.uint8)
-    for w in range(WALKS):
+    for w in range(max((WALKS[c] for c in classes), default=0)):
+        classes = [c for c in every if w < WALKS[c]]
         at = starts.astype(np.intp)
         acc = {c: np.full(len(starts), w + 1, np.uint64) for c in classes}
-        for t in range(steps):
+        for t in range(max(classes)):
             np.take(pad, at, out=ch, mode="clip")
             ch[near] = np.where(at[near] < last, ch[near], np.uint8(32))
             for c in classes:
@@ -128,17 +135,15 @@ class Index:
                 self.items.append(x)
         self.tiny = {i: x for i, x in enumerate(self.items) if len(x) < CLASSES[-1][1]}
         rows, starts, ends = [], [], []
-        at, buf, least = 0, [], 1 << 30
+        at, buf = 0, []
         for i, x in enumerate(self.items):
             if i not in self.tiny:
                 s = [0, *(k + 1 for k, c in enumerate(x) if c == 32)]
-                least = min(least, len(s))
                 rows += [i] * len(s)
                 starts += [at + k for k in s]
                 ends += [at + len(x)] * len(s)
             buf.append(x + b" ")
             at += len(x) + 1
-        self.stride = max(1, min(STRIDE, least))
         row, start, end = (np.array(v, np.int64) for v in (rows, starts, ends))
         begin = np.concatenate([[0], np.cumsum([len(x) + 1 for x in self.items])])
         data = np.frombuffer(b"".join(buf), np.uint8)
@@ -151,6 +156,8 @@ class Index:
         need = {c: b for c, b in CLASSES}
         ok = np.array([r >= need.get(int(c), 1 << 30) for r, c in zip(room, cls)], bool) if len(row) else np.zeros(0, bool)
         self.classes = tuple(sorted({int(c) for c in cls[ok]}, reverse=True))
+        # every occurrence has a window where a document's begins: no item has fewer than the stride
+        self.stride = {c: 1 if c != CLASSES[0][0] else min(STRIDE, int(np.unique(row[ok & (cls == c)], return_counts=True)[1].min())) for c in self.classes}
         self.table = {}
         for (c, w), k in keys(data, start[ok], end[ok], self.classes).items():
             use = cls[ok] == c
@@ -174,10 +181,11 @@ class Index:
             # texts end with a space if they have a word, so no word spans two of them
             cut = np.searchsorted(s, off)
             row = np.repeat(np.arange(len(off) - 1), np.diff(cut))
-            use = (np.arange(len(s)) - cut[row]) % self.stride == 0
-            s, row = s[use], row[use]
+            nth, word, of = np.arange(len(s)) - cut[row], s, row
             cand = []
-            for (c, w), k in keys(data, s, off[row + 1], self.classes).items():
+            for c, w, k, s, row in (
+                (c, w, k, word[use], of[use]) for c in self.classes for use in [nth % self.stride[c] == 0] for (_, w), k in keys(data, word[use], off[of[use] + 1], (c,)).items()
+            ):
                 known, have, item, shift = self.table[c, w]
                 hit = np.flatnonzero(known[k >> np.uint64(44)])
                 lo, hi = np.searchsorted(have, k[hit], "left"), np.searchsorted(have, k[hit], "right")

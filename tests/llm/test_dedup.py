@@ -175,3 +175,25 @@ def test_kernel_tokens_do_not_cross_documents():
     whole = kernel.hashes(data, s, e)
     alone = kernel.flat(kernel.as_text(pa.array(["c"])))
     assert kernel.hashes(alone[0], np.array([0]), np.array([1]))[0] == whole[1]
+
+
+def test_short_items_are_found_at_all_alignments():
+    """Copies and items with as many edits as are allowed, of 8 to 50 bytes, after 0 to 3 words more."""
+    r = random.Random(12)
+    make = lambda: "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(r.randrange(2, 9)))
+    for low, high in ((8, 15), (16, 23), (24, 31), (32, 39), (40, 50)):
+        items = []
+        while len(items) < 100:
+            t = make()
+            while len(t) < low:
+                t += " " + make()
+            if len(t) <= high:
+                items.append(t)
+        index = decontaminate.Index(list(range(100)), items)
+        for share in (0, decontaminate.MAX_EDITS):
+            hit = 0
+            for shift in range(4):
+                docs = [" ".join(make() for _ in range(20 + shift)) + " " + _typos(t, shift, int(share * len(t))) + " " + " ".join(make() for _ in range(20)) for t in items]
+                found = {(d, i) for d, i, _ in index.leaks(pa.array(docs, pa.large_string()))}
+                hit += sum((k, k) in found for k in range(100))
+            assert hit >= (0.9 if share else 1) * 400, (low, high, share, hit)
