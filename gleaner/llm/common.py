@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-DOC_COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: rows of a few numbers each; a side with more is never broadcast
 BROADCAST_ROWS = 1_000_000
 
@@ -19,28 +18,35 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder under spark.checkpoint.dir, which all executors share.
+    """A new folder under spark.checkpoint.dir, which all executors share; it goes when the driver ends.
 
-    Only where the session names none (tests on one machine) a local folder is set.
+    Only a session of one machine (master local) may name none and then gets a local folder.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = spark.sparkContext.getCheckpointDir()
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         base = tempfile.mkdtemp(prefix="gleaner-")
         spark.sparkContext.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/gleaner-{uuid.uuid4().hex}"
+    path = f"{base.rstrip('/')}/gleaner-{uuid.uuid4().hex}"
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(folder)
+    return path
 
 
 def written(df: DataFrame) -> DataFrame:
     """df as a Parquet table in the shared folder: its lineage ends there and it outlives executors."""
     path = shared_dir(df.sparkSession)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._written_to = path
+    return out
 
 
-def out_schema(df: DataFrame, *extra: T.StructField) -> T.StructType:
-    return T.StructType([*df.schema.fields, *extra])
+def discard(df: DataFrame) -> None:
+    """Deletes a table of written() that nothing will read again."""
+    folder = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._written_to)
+    folder.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def packed(df: DataFrame, *names: str) -> Column:
@@ -85,7 +91,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
             .filter("u <> v")
             .distinct()
         )
-        e = written(small)
+        before, e = e, written(small)
+        discard(before)
         now = tuple(e.agg(F.count("*"), F.sum(F.hash("u", "v").cast("long"))).first())
         if now == last:
             return e.select(F.col("u").alias("node"), F.col("v").alias("root")).union(e.select(F.col("v").alias("node"), F.col("v").alias("root"))).distinct()

@@ -57,6 +57,26 @@ def test_keep_one(frame, odd, empty):
     assert not minhash.keep_one(empty).count() and not minhash.near_groups(empty).count()
 
 
+def test_other_texts_of_a_doc_id_stay(frame):
+    a, b = words(1, 60), words(2, 60)
+    docs = frame([(i, t) + ("en", "s", 1, "x", "y", "z", 7, "k", "q", 1, "t") for i, t in ((1, a), (5, a), (5, b))])
+    assert sorted((r["doc_id"], r["text"]) for r in minhash.keep_one(docs).collect()) == [(1, a), (5, b)]
+    assert [(r["doc_id"], r["keeper"]) for r in minhash.near_groups(docs).collect()] == [(5, 1)]
+    # 5 is a copy of 1 by one text and 9 a copy of 5 by the other: one row of each text stays
+    docs = frame([(i, t) + ("en", "s", 1, "x", "y", "z", 7, "k", "q", 1, "t") for i, t in ((5, a), (9, a), (5, b), (1, b), (6, a), (6, b))])
+    assert sorted((r["doc_id"], r["text"]) for r in minhash.keep_one(docs).collect()) == [(1, b), (5, a)]
+
+
+def test_hot_bands_lose_no_link(frame):
+    texts = [_edited(words(1, 100), 10 + k, 0.01 * (k % 4)) for k in range(120)] + [words(50 + k, 80) for k in range(20)] + ["x", "x y", "y x", "x y"]
+    docs = frame(rows(texts))
+    want = {tuple(r) for r in minhash.near_groups(docs).select("doc_id", "keeper").collect()}
+    got = {tuple(r) for r in minhash.near_groups(docs, most=16, share=1).select("doc_id", "keeper").collect()}
+    assert got == want and len(want) > 100 and (143, 141) in want
+    hot = frame([(7, "one text of many words that repeats", "en", "s", 1) + ("x",) * 3 + (7, "k", "q", 1, "t")] * 3000 + [(8, "another text of many words", "en", "s", 1) + ("x",) * 3 + (7, "k", "q", 1, "t")])
+    assert sorted(r["doc_id"] for r in minhash.keep_one(hot).collect()) == [7, 8]
+
+
 def test_infix_distance_is_exact():
     def slow(item, text):
         row = [0] * (len(text) + 1)
