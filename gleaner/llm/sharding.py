@@ -6,33 +6,39 @@ shards in name order): a byte that stays costs 0, a byte that moves costs 1 and
 passes a hub, so the network has one edge a shard for staying, one to the hub and
 one from it, and is solved on the driver by a primal-dual minimum-cost flow,
 whatever the data's size.  The flow gives each old shard an ordered list of
-byte ranges; a document goes to the shard of the range that its first byte is in.
-
-A document's offset in its shard is the sum of the sizes before it: block sums
-(blocks are ranges of doc_id), a window over the blocks of a shard, and a window
-within each block; no window ever covers a shard's documents, so a shard that
-holds most of the data doesn't hold up a task.
-
-Order in a shard: doc_id, then text hash.  Null doc_ids come first, by text hash;
-null shards are the shard ''.  Rows that agree in both go to one shard's files.  Null and empty texts have 0 bytes and go with their offset.
-Repeated rows are rows of their own.  Capacities are the total divided evenly
-(the first ones take the remainder) unless given; if they hold less than the
-total, the flow can't exist and a ValueError says so.
+byte ranges; a document goes to the shard of the range that its first byte is in
+(so a shard can pass its capacity by less than its last document).
+
+Order in a shard: doc_id, then text hash.  Slim rows (no texts) are range
+partitioned by shard and order, each partition's sums and the sums before it give
+every offset: no window covers a shard, whatever its doc_ids look like, and a
+random last key cuts rows that repeat.  A byte range then is a range of keys, and
+there are at most as many as old and new shards together: texts are sent to their
+shard by a join with these alone.  Only if a range ends among equal rows, these
+are numbered one by one.
+
+Null doc_ids come first, by text hash; null shards are the shard ''.  Null and empty
+texts have 0 bytes and go with their offset.  Repeated rows are rows of their own,
+in the files as in the report.  Capacities are the total divided evenly (the first
+ones take the remainder) unless given; if they hold less than the total, the flow
+can't exist and a ValueError says so.  Old shards are known to the driver: a row each.
 """
 
 from __future__ import annotations
 
 from collections import deque
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gleaner.llm.common import fresh, packed, shared_dir, small, written
 
-NEW_SHARDS, BLOCK_IDS = 24, 4096
-#: null doc_ids: 4096 blocks before all others, by text hash
-NULL_BLOCK = -(1 << 62)
+NEW_SHARDS = 24
 LAST = (1 << 62) + ((1 << 62) - 1)
+_KEY = ("old", "known", "id", "tie")
 
 
 def min_cost_flow(n: int, edges: list[tuple[int, int, int, int]], source: int, sink: int) -> list[int]:
@@ -121,23 +127,51 @@ def transfers(old: list[int], capacity: list[int]) -> list[list[tuple[int, int,
     return out
 
 
-def _keyed(docs: DataFrame, shard_col: str, slim: bool) -> DataFrame:
-    """(row: the columns to keep, old, bytes, block, id, tie) of every document."""
+def _keyed(docs: DataFrame, shard_col: str, *row: str) -> DataFrame:
+    """(old, known, id, tie: the order; bytes; row: the columns named) of every document."""
     return docs.select(
-        packed(docs, *(["doc_id"] if slim else [])).alias("row"),
-        F.coalesce(F.col(shard_col).cast("string"), F.lit("")).alias("old"),
-        F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("bytes"),
-        F.col("doc_id").cast("long").alias("id"),
+        F.coalesce(F.col(f"`{shard_col}`").cast("string"), F.lit("")).alias("old"),
+        F.col("doc_id").isNotNull().alias("known"),
+        F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("id"),
         F.xxhash64("text").alias("tie"),
-    ).withColumn("block", F.coalesce(F.floor(F.col("id") / F.lit(BLOCK_IDS)), NULL_BLOCK + F.shiftrightunsigned(F.col("tie").bitwiseXOR(F.lit(-(1 << 63))), 52)))
+        F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("bytes"),
+        *([packed(docs, *row).alias("row")] if row else []),
+    )
+
+
+def _running(batches):
+    """Adds part (the partition) and within (the bytes before a row in its old shard and partition) to sorted rows."""
+    part, last, total = TaskContext.get().partitionId(), None, 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        old, size = batch.column("old").to_pylist(), batch.column("bytes").to_numpy()
+        before = np.cumsum(size) - size
+        new = [k for k in range(len(old)) if old[k] != (old[k - 1] if k else last)]
+        first = [0, *new] if not new or new[0] else new
+        shift = -before[first]
+        if first != new:
+            shift[0] = total
+        within = before + np.repeat(shift, np.diff([*first, len(old)]))
+        last, total = old[-1], int(within[-1] + size[-1])
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(len(old), part, np.int32)), pa.array(within)], [*batch.schema.names, "part", "within"])
+
+
+def _offsets(keyed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(keyed with at, the offset in the old shard; (old, size) of the old shards), written."""
+    parts = int(keyed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    d = keyed.withColumn("salt", F.rand(17)).repartitionByRange(parts, *_KEY, "salt").sortWithinPartitions(*_KEY, "salt").drop("salt")
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in d.schema) + ", part int, within long"
+    d = written(d.mapInArrow(_running, schema))
+    sums = written(d.groupBy("old", "part").agg(F.sum("bytes").alias("size")))
+    # a row for each partition and shard that begins in it
+    base = sums.select("old", "part", (F.sum("size").over(Window.partitionBy("old").orderBy("part")) - F.col("size")).alias("base"))
+    return d.join(small(base, parts + sums.count()), ["old", "part"]).withColumn("at", F.col("base") + F.col("within")).drop("base", "within", "part"), sums.groupBy("old").agg(F.sum("size").alias("size"))
 
 
-def _planned(keyed: DataFrame, new_shards: int, capacity: list[int] | None) -> tuple[DataFrame, DataFrame, int, list[int]]:
-    """(base offset of each block, byte ranges with their new shards, number of ranges, shards that gain or lose bytes)."""
-    spark = keyed.sparkSession
-    sums = written(keyed.groupBy("old", "block").agg(F.sum("bytes").alias("size")))
-    # a row for each old shard
-    shards = sums.groupBy("old").agg(F.sum("size").alias("size")).orderBy("old").collect()
+def _plan(shards: DataFrame, new_shards: int, capacity: list[int] | None) -> tuple[list[tuple], list[int]]:
+    """((old, first byte, end, new shard, whether it is in place) of each range, shards that gain or lose bytes)."""
+    shards = shards.orderBy("old").collect()
     if capacity is None:
         total = sum(r["size"] for r in shards)
         capacity = [total // new_shards + (k < total % new_shards) for k in range(new_shards)]
@@ -147,68 +181,99 @@ def _planned(keyed: DataFrame, new_shards: int, capacity: list[int] | None) -> t
         if any(j != i for _, _, j in parts):
             touched |= {j for _, _, j in parts if j != i} | ({i} if i < len(capacity) else set())
         plan += [(r[0], a, LAST if k == len(parts) - 1 else b, j, i == j) for k, (a, b, j) in enumerate(parts)]
-    ranges = spark.createDataFrame(plan, "old string, first long, past long, new_shard int, stays boolean")
-    base = sums.withColumn("base", F.sum("size").over(Window.partitionBy("old").orderBy("block")) - F.col("size"))
-    return base, ranges, len(plan), sorted(touched)
+    return plan, sorted(touched)
+
+
+def _ranged(offsets: DataFrame, plan: list[tuple]) -> DataFrame:
+    """offsets with new_shard and stays."""
+    r = small(offsets.sparkSession.createDataFrame(plan, "r_old string, first long, past long, new_shard int, stays boolean"), len(plan))
+    return offsets.join(r, (F.col("old") == F.col("r_old")) & (F.col("at") >= F.col("first")) & (F.col("at") < F.col("past"))).drop("r_old", "past")
+
+
+def _order(p: str = "") -> Column:
+    return F.struct(F.col(f"{p}known").alias("known"), F.col(f"{p}id").alias("id"), F.col(f"{p}tie").alias("tie"))
+
+
+def _sent(docs: DataFrame, shard_col: str, place: DataFrame) -> DataFrame:
+    """Every document (row, old, bytes) with new_shard and stays; texts aren't shuffled.
+
+    place: the slim rows with their shards.  Ranges of keys are those of bytes; keys
+    in which a range ends are the shared ones.
+    """
+    spark = docs.sparkSession
+    ends = place.groupBy("old", "first", "new_shard", "stays").agg(F.min(_order()).alias("lo"), F.max(_order()).alias("hi")).orderBy("old", "first").collect()
+    shared = {(a["old"], a["hi"]) for a, b in zip(ends, ends[1:]) if a["old"] == b["old"] and a["hi"] == b["lo"]}
+    kind = "struct<known boolean, id long, tie long>"
+    keyed = _keyed(docs, shard_col, *docs.columns)
+    if shared:
+        s = F.broadcast(spark.createDataFrame([(o, *k) for o, k in sorted(shared)], "old string, known boolean, id long, tie long"))
+        several = keyed.join(s, list(_KEY), "left_semi")
+        keyed = keyed.join(s, list(_KEY), "left_anti")
+    r = F.broadcast(spark.createDataFrame([(e["old"], e["lo"], e["hi"], e["new_shard"], e["stays"]) for e in ends], f"r_old string, lo {kind}, hi {kind}, new_shard int, stays boolean"))
+    out = keyed.join(r, (F.col("old") == F.col("r_old")) & (_order() >= F.col("lo")) & (_order() <= F.col("hi"))).select("row", "old", "bytes", "new_shard", "stays")
+    if shared:
+        # of equal rows as many go to each range as begin in it: their numbers are exact, which one is which isn't told
+        quota = place.join(s, list(_KEY), "left_semi").groupBy(*_KEY, "first", "new_shard", "stays").count()
+        upto = Window.partitionBy(*_KEY).orderBy("first")
+        quota = quota.withColumn("to", F.sum("count").over(upto)).withColumn("from", F.col("to") - F.col("count"))
+        q = F.broadcast(quota.select(*[F.col(c).alias(f"q_{c}") for c in _KEY], "from", "to", "new_shard", "stays"))
+        n = _numbered(several)
+        out = out.union(n.join(q, F.expr(" and ".join(f"{c} = q_{c}" for c in _KEY) + " and nth >= from and nth < to")).select("row", "old", "bytes", "new_shard", "stays"))
+    return out
 
 
-def _place(keyed: DataFrame, base: DataFrame, ranges: DataFrame, n_ranges: int) -> DataFrame:
-    """keyed with at (the offset in the old shard), new_shard and stays."""
-    within = Window.partitionBy("old", "block").orderBy("id", "tie").rowsBetween(Window.unboundedPreceding, -1)
-    d = keyed.withColumn("within", F.coalesce(F.sum("bytes").over(within), F.lit(0)))
-    d = d.join(base.select("old", "block", "base"), ["old", "block"]).withColumn("at", F.col("base") + F.col("within"))
-    d, r = d.alias("d"), small(ranges, n_ranges).alias("r")
-    return d.join(r, (F.col("d.old") == F.col("r.old")) & (F.col("at") >= F.col("first")) & (F.col("at") < F.col("past"))).select("d.*", "new_shard", "stays")
+def _numbered(rows: DataFrame) -> DataFrame:
+    """rows with nth, their number among rows of one key: counted by partitions of a written table, not in one task."""
+    ones = _offsets(rows.withColumn("size", F.col("bytes")).withColumn("bytes", F.lit(1).cast("long")))[0].withColumnRenamed("at", "place")
+    low = ones.groupBy(*_KEY).agg(F.min("place").alias("low")).select(*[F.col(c).alias(f"l_{c}") for c in _KEY], "low")
+    return ones.join(F.broadcast(low), F.expr(" and ".join(f"{c} = l_{c}" for c in _KEY))).select(*_KEY, "row", F.col("size").alias("bytes"), (F.col("place") - F.col("low")).alias("nth"))
 
 
-def placed(docs: DataFrame, shard_col: str = "source", new_shards: int = NEW_SHARDS, capacity: list[int] | None = None, slim: bool = False) -> DataFrame:
-    """docs (slim: doc_id only) with old_shard, n_bytes, shard_offset, new_shard and moved.
+def placed(docs: DataFrame, shard_col: str = "source", new_shards: int = NEW_SHARDS, capacity: list[int] | None = None) -> DataFrame:
+    """docs with old_shard, n_bytes, new_shard and moved, a new shard's rows together.
 
     A column of docs that has one of these names stays; the new one then has underscores before its name.
     """
-    keyed = _keyed(docs, shard_col, slim)
-    base, ranges, n, _ = _planned(keyed, new_shards, capacity)
-    return _shown(docs, _place(keyed, base, ranges, n), slim)
+    offsets, shards = _offsets(_keyed(docs, shard_col))
+    plan, _ = _plan(shards, new_shards, capacity)
+    if not plan:
+        return _shown(docs, _keyed(docs, shard_col, *docs.columns).withColumns({"new_shard": F.lit(0), "stays": F.lit(True)}))
+    # adaptive execution splits a large shard over tasks and puts small ones together
+    return _shown(docs, _sent(docs, shard_col, _ranged(offsets, plan)).hint("rebalance", F.col("new_shard")))
 
 
-def _shown(docs: DataFrame, d: DataFrame, slim: bool) -> DataFrame:
-    have = docs.select("doc_id") if slim else docs
+def _shown(have: DataFrame, d: DataFrame) -> DataFrame:
+    at = [F.col("at").alias(fresh(have, "shard_offset"))] if "at" in d.columns else []
     return d.select(
         "row.*",
         F.col("old").alias(fresh(have, "old_shard")),
         F.col("bytes").alias(fresh(have, "n_bytes")),
-        F.col("at").alias(fresh(have, "shard_offset")),
+        *at,
         F.col("new_shard").alias(fresh(have, "new_shard")),
         (~F.col("stays")).alias(fresh(have, "moved")),
     )
 
 
 def reshard(docs: DataFrame, path: str | None = None, shard_col: str = "source", new_shards: int = NEW_SHARDS, capacity: list[int] | None = None) -> DataFrame:
-    """Writes the files of the shards that gain or lose bytes and returns every document's place, as placed(slim=True).
+    """Writes the files of the shards that gain or lose bytes and returns every document's place:
+    (doc_id, old_shard, n_bytes, shard_offset, new_shard, moved).
 
     path (a folder of the shared one unless given) gets new_shard=k/*.parquet with
     docs' columns; a shard that nothing enters or leaves isn't written.  Texts move
-    once, to the files: a block that lies in one byte range takes its shard from the
-    range, and only documents of blocks that a range's end cuts are put in order.
+    once, to the files.
     """
-    keyed = _keyed(docs, shard_col, False)
-    base, ranges, n, touched = _planned(keyed.drop("row"), new_shards, capacity)
-    place = _place(_keyed(docs, shard_col, True), base, ranges, n)
+    offsets, shards = _offsets(_keyed(docs, shard_col, "doc_id"))
+    plan, touched = _plan(shards, new_shards, capacity)
+    if not plan:
+        return _shown(docs.select("doc_id"), offsets.withColumns({"new_shard": F.lit(0), "stays": F.lit(True)}))
+    place = _ranged(offsets, plan)
     if touched:
-        b, r = base.alias("b"), small(ranges, n).alias("r")
-        # documents without bytes at a block's end lie at base + size, so that is in the range too
-        whole = b.join(r, (F.col("b.old") == F.col("r.old")) & (F.col("base") >= F.col("first")) & (F.col("base") < F.col("past")))
-        blocks = written(whole.select("b.old", "b.block", F.when(F.col("base") + F.col("size") < F.col("past"), F.col("new_shard")).alias("to")))
-        joined = keyed.join(small(blocks), ["old", "block"])
-        cut = written(_place(_keyed(docs, shard_col, True).join(small(blocks.filter("to is null")), ["old", "block"], "left_semi"), base, ranges, n).groupBy("old", "block", "id", "tie").agg(F.min("new_shard").alias("own")))
-        c = small(cut.select(*[F.col(x).alias(f"c_{x}") for x in cut.columns]))
-        joined = joined.join(c, F.expr("to is null and old = c_old and block = c_block and id <=> c_id and tie = c_tie"), "left")
         name = fresh(docs, "new_shard")
-        moved = joined.withColumn("shard", F.coalesce("to", "c_own")).filter(F.col("shard").isin(touched))
+        moved = _sent(docs, shard_col, place).filter(F.col("new_shard").isin(touched))
         # adaptive execution splits a large shard over tasks and puts small ones together
-        moved = moved.select("row.*", F.col("shard").alias(name)).hint("rebalance", F.col(name))
+        moved = moved.select("row.*", F.col("new_shard").alias(name)).hint("rebalance", F.col(name))
         moved.write.partitionBy(name).parquet(path or shared_dir(docs.sparkSession))
-    return _shown(docs, place, True)
+    return _shown(docs.select("doc_id"), place)
 
 
 ORACLE = f"""

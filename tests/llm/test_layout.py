@@ -5,6 +5,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from gleaner.llm import fixity, mixing, sharding
 
@@ -98,9 +99,9 @@ def test_places_and_files(spark, frame, odd, empty, tmp_path):
     docs = frame([(k * 97, t, "en", ["hot", "hot", "hot", "b", None, "d"][k % 6], 0, "x", "y", "z", 7, "k", "q", 1, "t") for k, t in enumerate(texts)])
     want = _brute_places(docs.collect(), 7)
     full = sharding.placed(docs, new_shards=7)
-    assert full.columns == [*docs.columns, "old_shard", "n_bytes", "shard_offset", "_new_shard", "moved"]  # the documents' own new_shard stays
+    assert full.columns == [*docs.columns, "old_shard", "n_bytes", "_new_shard", "moved"]  # the documents' own new_shard stays
+    assert {r["doc_id"]: (r["old_shard"], r["n_bytes"], r["_new_shard"], r["moved"]) for r in full.collect()} == {d: (w[0], w[1], w[3], w[4]) for d, w in want.items()}
     place = lambda r, name: (r["old_shard"], r["n_bytes"], r["shard_offset"], r[name], r["moved"])
-    assert {r["doc_id"]: place(r, "_new_shard") for r in full.collect()} == want
     path = str(tmp_path / "new")
     slim = sharding.reshard(docs, path, new_shards=7)
     assert {r["doc_id"]: place(r, "new_shard") for r in slim.collect()} == want
@@ -110,6 +111,16 @@ def test_places_and_files(spark, frame, odd, empty, tmp_path):
     assert {r["doc_id"]: r["_new_shard"] for r in files.collect()} == {d: w[3] for d, w in want.items() if w[3] in touched}
 
 
+def test_files_agree_with_the_report_where_rows_repeat(spark, frame, tmp_path):
+    docs = frame([(1, "x" * 10, "en", "a", 10) + (None,) * 8] * 40 + [((k * 0x9E3779B97F4A7C15) % (1 << 63), "y" * 10, "en", "b", 10) + (None,) * 8 for k in range(1, 61)])
+    report = {}
+    for r in sharding.reshard(docs, str(tmp_path / "four"), new_shards=4).collect():
+        report[r["doc_id"], r["new_shard"]] = report.get((r["doc_id"], r["new_shard"]), 0) + 1
+    files = {(r["doc_id"], r["_new_shard"]): r["n"] for r in spark.read.parquet(str(tmp_path / "four")).groupBy("doc_id", "_new_shard").agg(F.count("*").alias("n")).collect()}
+    assert files == report and sorted(n for (d, _), n in report.items() if d == 1) == [15, 25]
+    assert {r["doc_id"]: r["n"] for r in sharding.placed(docs, new_shards=4).groupBy("doc_id").agg(F.count("*").alias("n")).collect()}[1] == 40
+
+
 def test_untouched_shards_are_not_rewritten(frame, tmp_path):
     docs = frame([(k, "x" * 10, "en", f"s{k % 3}", 10) + (None,) * 8 for k in range(30)])
     sharding.reshard(docs, str(tmp_path / "same"), capacity=[100, 100, 100])
@@ -141,3 +152,21 @@ def test_audit_names_just_the_damage(spark):
     none = spark.createDataFrame([], schema)
     assert fixity.audit(a, none).count() == len(pages) and fixity.audit(none, none).count() == 0
     assert {x["status"] for x in fixity.audit(none, a).collect()} == {"extra"}
+
+
+def test_audit_tells_all_fields_and_repeats_apart(spark):
+    schema = "page_id long, url string, html string"
+    f = lambda r: spark.createDataFrame(r, schema)
+    status = lambda a, b: [(x["page_id"], x["status"]) for x in fixity.audit(f(a), f(b)).collect()]
+    assert status([(1, "u\x01x", "y")], [(1, "u", "x\x01y")]) == [(1, "changed")]
+    assert status([(1, "u", None)], [(1, "u", "\0")]) == [(1, "changed")] and status([(1, "u", None)], [(1, "u", "-")]) == [(1, "changed")]
+    assert status([(1, "u", "x")] * 3, [(1, "u", "x")] * 2) == [(1, "missing")]
+    # sparse keys, one key with many records, a very long payload
+    many = [((k * 0x9E3779B97F4A7C15) % (1 << 63), "u", "x" * (k % 50)) for k in range(1, 2000)] + [(5, "u", f"h{k}" * 100) for k in range(2000)] + [(6, "u", "z" * 3_000_000)] + [(None, None, None)] * 2
+    assert status(many, many[::-1]) == []
+    bad = list(many)
+    bad[10] = (bad[10][0], "u", "other")
+    bad[2500] = (5, "u", "other")
+    bad[-3] = (6, "u", "z" * 2_999_999 + "y")
+    got = status(many, bad[:-1])
+    assert len(got) == 4 and set(got) == {(many[10][0], "changed"), (5, "changed"), (6, "changed"), (None, "missing")}
