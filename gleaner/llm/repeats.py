@@ -22,7 +22,7 @@ words that also occurs in another document.  All text is covered:
 
 A document is a distinct (doc_id, text): repeated rows don't match themselves.
 Words are lower-case runs of letters and digits; equality of two words is
-equality of 32-bit hashes.  Null, empty and short texts have no passage; null
+equality of 32-bit hashes, documents and minimizers are told apart by 64 bits.  Null, empty and short texts have no passage; null
 doc_ids are kept as such.  Other columns are ignored.
 """
 
@@ -38,23 +38,34 @@ from gleaner.llm.common import written
 
 MIN_WORDS, GRAM = 50, 8
 BUCKET_WORDS = 400_000
+#: words whose windows are looked at together; with the window after them less than 2^24
+PART_WORDS = 1 << 23
 
 
-def pieces(arr: pa.Array, k: int = MIN_WORDS, m: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def pieces(arr: pa.Array, k: int = MIN_WORDS, m: int = GRAM, part: int = PART_WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(row, minimizer, first window's word in the document, windows) of every piece."""
     data, off = K.flat(arr)
     s, e, row = K.spans(data, off)
+    h = K.hashes(data, s, e)
+    first = K.per_row(row, len(off) - 1)
+    # a very long text takes several parts, each with the k - 1 words after it that its windows need
+    found = [_part(h[x : x + part + k - 1], row[x : x + part + k - 1], k, m, x) for x in range(0, max(1, len(s) - k + 1), part)]
+    row, low, at, n = (np.concatenate(v) for v in zip(*found))
+    return row, low, at - first[row], n
+
+
+def _part(h: np.ndarray, row: np.ndarray, k: int, m: int, begin: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(row, minimizer, first window's word, windows) of the pieces of words from begin on."""
     none = (np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))
-    n, w = len(s) - k + 1, k - m + 1
+    n, w = len(h) - k + 1, k - m + 1
     if n <= 0:
         return none
-    g, at = K.grams(K.hashes(data, s, e), row, m)
-    full = np.full(len(s), np.iinfo(np.uint64).max)
+    g, at = K.grams(h, row, m)
+    full = np.full(len(h), np.iinfo(np.uint64).max)
     full[at] = g
     # 40 bits of the hash, then the position: a tie goes to the leftmost
     place = np.uint64(24)
-    assert len(s) < 1 << 24, "a chunk has too many words"
-    key = (full >> place << place) | np.arange(len(s), dtype=np.uint64)
+    key = (full >> place << place) | np.arange(len(h), dtype=np.uint64)
     low, span = key, 1
     while span * 2 <= w:
         low = np.minimum(low[: len(low) - span], low[span:])
@@ -65,8 +76,7 @@ def pieces(arr: pa.Array, k: int = MIN_WORDS, m: int = GRAM) -> tuple[np.ndarray
         return none
     where = (low[ok] & np.uint64((1 << 24) - 1)).astype(np.int64)
     new = np.flatnonzero((np.diff(where, prepend=-1) != 0) | (np.diff(ok, prepend=-2) != 1))
-    first = K.per_row(row, len(off) - 1)
-    return row[ok[new]], full[where[new]], ok[new] - first[row[ok[new]]], np.diff(np.append(new, len(ok)))
+    return row[ok[new]], full[where[new]], ok[new] + begin, np.diff(np.append(new, len(ok)))
 
 
 def _pieces(batches):

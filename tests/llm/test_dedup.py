@@ -217,3 +217,15 @@ def test_short_items_are_found_at_all_alignments():
                 found = {(d, i) for d, i, _ in index.leaks(pa.array(docs, pa.large_string()))}
                 hit += sum((k, k) in found for k in range(100))
             assert hit >= (0.9 if share else 1) * 400, (low, high, share, hit)
+
+
+def test_pieces_of_very_long_texts():
+    """Parts of a text give the windows that one pass gives."""
+    texts = kernel.as_text(pa.array([words(1, 900, 60), words(2, 30), "", words(3, 400, 60)]))
+    def spread(p):
+        return {(r, h, a + k) for r, h, a, n in zip(*(x.tolist() for x in p)) for k in range(n)}
+    assert spread(repeats.pieces(texts)) == spread(repeats.pieces(texts, part=64))
+    long = np.full(1 << 24, 97, np.uint8)
+    long[1::2] = 32
+    text = kernel.as_text(pa.array([long.tobytes().decode() * 3]))
+    assert repeats.pieces(text)[3].sum() == 3 * (1 << 23) - repeats.MIN_WORDS + 1

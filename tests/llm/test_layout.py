@@ -2,6 +2,7 @@
 
 import glob
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -27,6 +28,27 @@ def test_pivotal_keeps_the_sum_and_the_expectation():
     assert np.abs(total / 4000 - p).max() < 0.04
 
 
+def _brute_copies(docs, weights):
+    """Copies by sequential pivotal rounding of all rows in one list."""
+    data = docs.collect()
+    n = Counter(x["source"] for x in data)
+    w = {s: weights.get(s, 1.0) * k**mixing.TEMPER for s, k in n.items()}
+    rate = [len(data) * w[x["source"]] / sum(w.values()) / n[x["source"]] for x in data]
+    whole = [int(r + 1e-9) for r in rate]
+    p, r, held = [max(0.0, a - b) for a, b in zip(rate, whole)], random.Random(1), None
+    for i in range(len(p)):
+        if held is None:
+            held = i
+            continue
+        a, b = p[held], p[i]
+        if a + b <= 1:
+            p[held], p[i] = (a + b, 0.0) if r.random() * (a + b) < a else (0.0, a + b)
+        else:
+            p[held], p[i] = (1.0, a + b - 1) if r.random() * (2 - a - b) < 1 - b else (a + b - 1, 1.0)
+        held = next((k for k in (held, i) if 1e-9 < p[k] < 1 - 1e-9), None)
+    return [a + round(b) for a, b in zip(whole, p)]
+
+
 def test_copies(frame, odd, empty, monkeypatch):
     monkeypatch.setattr(mixing, "BUCKET_ROWS", 16)  # many buckets, so that the tree has several levels
     monkeypatch.setattr(mixing, "FAN", 3)
@@ -37,7 +59,7 @@ def test_copies(frame, odd, empty, monkeypatch):
     for x in docs.collect():
         n[x["source"]] = n.get(x["source"], 0) + 1
     weight = {s: (2.0 if s == "b" else 1.0) * k**0.5 for s, k in n.items()}
-    assert sum(x["copies"] for x in got) == 900 == len(got)
+    assert sum(x["copies"] for x in got) == 900 == len(got) == sum(x["rows"] for x in got)
     for s in n:
         rate = 900 * weight[s] / sum(weight.values()) / n[s]
         own = [x["copies"] for x in got if x["source"] == s]
@@ -46,6 +68,19 @@ def test_copies(frame, odd, empty, monkeypatch):
     assert again == {x["doc_id"]: x["copies"] for x in got}
     mixed = mixing.mix(docs, {"b": 2.0})
     assert mixed.columns == docs.columns and mixed.count() == 900
+    # rounding all rows in one list gives each source about as many, and the same sum
+    slow = Counter()
+    for x, c in zip(docs.collect(), _brute_copies(docs, {"b": 2.0})):
+        slow[x["source"]] += c
+    fast = Counter()
+    for x in got:
+        fast[x["source"]] += x["copies"]
+    assert sum(slow.values()) == 900 and all(abs(slow[s] - fast[s]) <= 0.1 * n[s] for s in n)
+    hot = frame([(1, "t", "en", "a", 1) + (None,) * 8] * 500 + [(k, "t", "en", "b", 1) + (None,) * 8 for k in range(2, 302)])
+    rows_ = {x["doc_id"]: (x["rows"], x["copies"]) for x in mixing.copies(hot).collect()}
+    assert rows_[1][0] == 500 and len(rows_) == 301 and sum(c for _, c in rows_.values()) == 800
+    share = 800 * 500**0.5 / (500**0.5 + 300**0.5)
+    assert int(share) <= rows_[1][1] <= int(share) + 1 and mixing.mix(hot).filter("doc_id = 1").count() == rows_[1][1]
     assert mixing.mix(odd).count() == odd.count() and sum(x["copies"] for x in mixing.copies(odd).collect()) == odd.count()
     assert not mixing.mix(empty).count() and not mixing.copies(empty).count()
 
