@@ -1,22 +1,23 @@
 """Approximate nearest neighbours by additive quantisation.
 
 A vector is the sum of one word from each of BOOKS full-dimensional codebooks,
-learned one after another on the residuals; the encoding is a beam search over
-all books.  With the code goes the squared norm of the decoded vector, so a
-distance is |q|^2 - 2 sum_m <q, word_m> + norm, a sum of table look-ups.  The best
+learned one after another on the residuals and then, REFITS times, all together by
+least squares for the codes that the beam search gives; the encoding is a beam
+search over all books.  With the code goes the squared norm of the decoded vector,
+so a distance is |q|^2 - 2 sum_m <q, word_m> + norm, a sum of table look-ups.  The best
 by these sums are ranked again by exact distances.
 
-Every row is a query and is scored against the codes of all rows, block by block:
-rows fall into blocks of about BLOCK by hash, each block of queries meets each block
-of members in a task of its own, and the RERANK best of each block are ranked again.
-As both numbers are fixed, the recall is the same at every table size; the work
-grows with the square of the rows.
+Queries are the rows whose id is divisible by every (QUERY_EVERY), or all rows for 1.
+Each is scored against the codes of all rows, block by block: rows fall into blocks of
+about BLOCK by hash, queries as well, each two blocks meet in a task of their own, and
+the RERANK best of a block are ranked again.  As both numbers are fixed, recall doesn't
+depend on the table's size; the work is the number of queries times that of rows.
 
 Codebooks are fitted on at most FIT_ROWS rows chosen by hash; all rows are
-encoded, searched and queried.  Vectors that are null, of another length than
+encoded and searched.  Vectors that are null, of another length than
 most, or have a null, NaN or infinite component are neither queries nor
 neighbours.  Rows that repeat are neighbours of one another (a row isn't its own
-neighbour, told by vec_id and place among equals); ties go to the lesser id.
+neighbour) and each a query; ties go to the lesser id.
 Fewer than k other rows give fewer neighbours.  Null ids are left out.
 """
 
@@ -24,13 +25,13 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gleaner.llm.common import written
 
-BOOKS, WORDS, BEAM, ROUNDS = 8, 64, 8, 12
-FIT_ROWS, BLOCK, RERANK, TOP = 20_000, 8192, 1024, 10
+BOOKS, WORDS, BEAM, ROUNDS, REFITS = 16, 64, 4, 8, 2
+FIT_ROWS, BLOCK, RERANK, TOP, QUERY_EVERY = 20_000, 16_384, 256, 10, 100
 
 
 def _nearest(x: np.ndarray, c: np.ndarray) -> np.ndarray:
@@ -49,14 +50,31 @@ def _kmeans(x: np.ndarray, k: int, rng) -> np.ndarray:
 
 
 def train(x: np.ndarray, seed: int = 5) -> np.ndarray:
-    """Codebooks [BOOKS, WORDS, dim]: k-means on the residuals that the beam search leaves, then one joint least-squares fit."""
+    """Codebooks [BOOKS, WORDS, dim]: k-means on the residuals that the beam search leaves, then joint least-squares fits."""
     rng = np.random.default_rng(seed)
     books, rest = [], x
     for _ in range(BOOKS):
         books.append(_kmeans(rest, WORDS, rng))
-        code = encode(x, np.stack(books), beam=2)
-        rest = x - decode(code, np.stack(books))
-    return np.stack(books)
+        rest = x - decode(encode(x, np.stack(books), beam=1), np.stack(books))
+    best = np.stack(books)
+    for _ in range(REFITS):
+        best = refit(x, encode(x, best))
+    return best
+
+
+def refit(x: np.ndarray, code: np.ndarray, ridge: float = 0.01) -> np.ndarray:
+    """The codebooks whose sums are nearest to x for these codes, in the sense of least squares."""
+    m = code.shape[1]
+    at = code.astype(np.int64) + np.arange(m) * WORDS
+    gram = np.zeros((m * WORDS, m * WORDS))
+    for a in range(m):
+        for b in range(m):
+            gram[a * WORDS : (a + 1) * WORDS, b * WORDS : (b + 1) * WORDS] = np.bincount(code[:, a].astype(np.int64) * WORDS + code[:, b], minlength=WORDS * WORDS).reshape(WORDS, WORDS)
+    right = np.zeros((m * WORDS, x.shape[1]))
+    for a in range(m):
+        np.add.at(right, at[:, a], x)
+    gram[np.diag_indices(m * WORDS)] += ridge * len(x) / WORDS
+    return np.linalg.solve(gram, right).reshape(m, WORDS, -1).astype(np.float32)
 
 
 def encode(x: np.ndarray, books: np.ndarray, beam: int = BEAM) -> np.ndarray:
@@ -99,16 +117,16 @@ def _search(dim: int, top: int, held):
     """A block of members and a block of queries: the top of each query among the members."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        empty = pa.table({"q": pa.array([], pa.int64()), "qn": pa.array([], pa.int64()), "id": pa.array([], pa.int64()), "n": pa.array([], pa.int64()), "d": pa.array([], pa.float32())})
+        empty = pa.table({"q": pa.array([], pa.int64()), "qu": pa.array([], pa.int64()), "id": pa.array([], pa.int64()), "u": pa.array([], pa.int64()), "d": pa.array([], pa.float32())})
         if not len(left) or not len(right):
             return empty
         books = held.value
         x = _matrix(left.column("v").combine_chunks(), dim)
-        ids, nth = left.column("id").to_numpy(), left.column("nth").to_numpy()
+        ids, u = left.column("id").to_numpy(), left.column("u").to_numpy()
         code = np.frombuffer(b"".join(left.column("code").to_pylist()), np.uint8).reshape(len(x), -1)
         norm = left.column("norm").to_numpy()
         out = []
-        qs, qn, qv = right.column("q").to_numpy(), right.column("qn").to_numpy(), _matrix(right.column("qv").combine_chunks(), dim)
+        qs, qu, qv = right.column("q").to_numpy(), right.column("qu").to_numpy(), _matrix(right.column("qv").combine_chunks(), dim)
         for at in range(0, len(qs), 128):
             q, own = qv[at : at + 128], slice(at, at + 128)
             lut = 2 * np.einsum("qd,mwd->mwq", q, books, optimize=True)
@@ -116,34 +134,32 @@ def _search(dim: int, top: int, held):
             for m in range(len(books)):
                 s -= lut[m][code[:, m]]
             s = np.ascontiguousarray(s.T)
-            s[(ids[None, :] == qs[own][:, None]) & (nth[None, :] == qn[own][:, None])] = np.inf
+            s[u[None, :] == qu[own][:, None]] = np.inf
             r = min(max(RERANK, 2 * top), len(x))
             short = np.argpartition(s, r - 1, 1)[:, :r] if r < len(x) else np.broadcast_to(np.arange(len(x)), (len(q), len(x)))
             exact = np.stack([((x[near] - v) ** 2).sum(1) for near, v in zip(short, q)])
             exact[np.isinf(np.take_along_axis(s, short, 1))] = np.inf
-            o = np.lexsort((ids[short], exact), axis=1)[:, :top]
+            o = np.lexsort((u[short], ids[short], exact), axis=1)[:, :top]
             d = np.take_along_axis(exact, o, 1)
             pick = np.take_along_axis(short, o, 1)
             ok = np.isfinite(d)
             row = np.broadcast_to(np.arange(len(q))[:, None], d.shape)[ok]
-            out.append((qs[own][row], qn[own][row], ids[pick[ok]], nth[pick[ok]], d[ok]))
-        return pa.table({k: pa.array(np.concatenate([o[i] for o in out])) for i, k in enumerate(("q", "qn", "id", "n", "d"))})
+            out.append((qs[own][row], qu[own][row], ids[pick[ok]], u[pick[ok]], d[ok]))
+        return pa.table({k: pa.array(np.concatenate([o[i] for o in out])) for i, k in enumerate(("q", "qu", "id", "u", "d"))})
 
     return run
 
 
-def neighbours(table: DataFrame, top: int = TOP, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
-    """(vec_id, rank, neighbour_id, distance): the top nearest other rows of every row, distance squared Euclidean."""
+def neighbours(table: DataFrame, top: int = TOP, id_col: str = "vec_id", vec_col: str = "embedding", every: int = QUERY_EVERY) -> DataFrame:
+    """(vec_id, rank, neighbour_id, distance): the top nearest other rows of every query, distance squared Euclidean."""
     spark = table.sparkSession
     schema = "vec_id long, rank int, neighbour_id long, distance double"
     v, dim = _vectors(table, id_col, vec_col)
     if not dim:
         return spark.createDataFrame([], schema)
-    n = v.count()
     sample = v.orderBy(F.xxhash64("id"), "id").limit(FIT_ROWS).toArrow()
     books = train(_matrix(sample.column("v").combine_chunks(), dim))
-    held = spark.sparkContext.broadcast(books.astype(np.float32))
-    v = v.withColumn("nth", F.row_number().over(Window.partitionBy("id").orderBy(F.xxhash64("v"))).cast("long"))
+    held = spark.sparkContext.broadcast(books)
 
     def code(batches):
         books = held.value
@@ -153,25 +169,21 @@ def neighbours(table: DataFrame, top: int = TOP, id_col: str = "vec_id", vec_col
                 continue
             c = encode(x, books)
             y = decode(c, books)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0),
-                    batch.column(2),
-                    batch.column(1),
-                    pa.array([r.tobytes() for r in c], pa.binary()),
-                    pa.array((y * y).sum(1), pa.float32()),
-                ],
-                ["id", "nth", "v", "code", "norm"],
-            )
-
-    coded = written(v.select("id", "v", "nth").mapInArrow(code, "id long, nth long, v array<float>, code binary, norm float"))
-    blocks = -(-n // BLOCK)
-    coded = coded.withColumn("block", F.pmod(F.xxhash64("id", "nth"), F.lit(blocks)).cast("int"))
-    each = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    member = coded.withColumn("qblock", each)
-    query = coded.select(F.col("id").alias("q"), F.col("nth").alias("qn"), F.col("v").alias("qv"), F.col("block").alias("own"), each.alias("other"))
-    near = member.groupBy("block", "qblock").cogroup(query.groupBy("other", "own")).applyInArrow(_search(dim, top, held), "q long, qn long, id long, n long, d float")
-    best = near.groupBy("q", "qn").agg(F.slice(F.array_sort(F.collect_list(F.struct("d", "id", "n"))), 1, top).alias("l"))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([r.tobytes() for r in c], pa.binary()), pa.array((y * y).sum(1), pa.float32())], ["id", "v", "u", "code", "norm"])
+
+    # u tells rows that repeat apart; it is written, so it stays what it is
+    coded = written(v.withColumn("u", F.monotonically_increasing_id()).mapInArrow(code, "id long, v array<float>, u long, code binary, norm float"))
+    asked = coded.filter(F.pmod("id", F.lit(every)) == 0)
+    rows, queries = coded.count(), asked.count()
+    if not queries:
+        return spark.createDataFrame([], schema)
+    n, m = -(-rows // BLOCK), -(-queries // BLOCK)
+    block = lambda k: F.pmod(F.xxhash64("u"), F.lit(k)).cast("int")
+    every_ = lambda k: F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
+    member = coded.select("*", block(n).alias("x"), every_(m).alias("y"))
+    query = asked.select(F.col("id").alias("q"), F.col("u").alias("qu"), F.col("v").alias("qv"), block(m).alias("qy"), every_(n).alias("qx"))
+    near = member.groupBy("x", "y").cogroup(query.groupBy("qx", "qy")).applyInArrow(_search(dim, top, held), "q long, qu long, id long, u long, d float")
+    best = near.groupBy("q", "qu").agg(F.slice(F.array_sort(F.collect_list(F.struct("d", "id", "u"))), 1, top).alias("l"))
     return best.select(F.col("q").alias("vec_id"), F.posexplode("l")).select(
         "vec_id", (F.col("pos") + 1).cast("int").alias("rank"), F.col("col.id").alias("neighbour_id"), F.round(F.col("col.d").cast("double"), 6).alias("distance")
     )
