@@ -11,10 +11,11 @@ rows without a language, share one of all languages.
 Labels are of whole documents, most of whose words are harmless, so the toxic
 training samples are the stretches of toxic documents whose words are far more
 frequent there (LIFT times, in LEAST toxic documents) than in ordinary
-ones of the same language.  All that chance can't account for, and the TELLING
+ones of the same language (dictionaries of whole toxic windows are of ordinary
+syllables: see the README).  All that chance can't account for, and the TELLING
 most telling in any case, are in the toxic dictionary, which grows with them from
-TOXIC_BYTES.  The toxic compressor has the ordinary dictionary before its own content;
-so both know ordinary text equally well and a gain comes from toxic content.
+TOXIC_BYTES.  Both dictionaries are of one size and begin with the same ordinary content; one ends
+with toxic content, the other with as many zeros, so a gain comes from toxic content.
 
 At most FIT_TOXIC + FIT_ORDINARY labelled documents, chosen by hash, are used to
 fit; every window of every text is scored.  Null and empty texts, and all texts
@@ -50,12 +51,13 @@ _WORD = regex.compile(r"[^\W_]+")
 class Model:
     ordinary: bytes
     toxic: bytes
+    other: bytes
     least: float
 
     def compressors(self):
         return [
             zs.ZstdCompressor(dict_data=zs.ZstdCompressionDict(d), level=LEVEL, write_checksum=False, write_content_size=False, write_dict_id=False)
-            for d in (self.ordinary, self.ordinary + self.toxic)
+            for d in (self.ordinary + self.other, self.ordinary + self.toxic)
         ]
 
 
@@ -121,7 +123,8 @@ def fit(docs: DataFrame, labels: DataFrame) -> dict[str | None, Model]:
     order = (F.xxhash64("l_id"), "l_id")
     lab = lab.filter("l_toxic").orderBy(*order).limit(FIT_TOXIC).union(lab.filter("not l_toxic").orderBy(*order).limit(FIT_ORDINARY))
     text = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").alias("text"), F.col("lang").alias("lang")).filter("text is not null")
-    text = text.join(F.broadcast(lab), text["id"] == lab["l_id"]).select("l_id", "l_toxic", "text", "lang")
+    # one text of a doc_id that repeats, so the bound holds for rows too
+    text = text.join(F.broadcast(lab), text["id"] == lab["l_id"]).groupBy("l_id").agg(F.first("l_toxic").alias("l_toxic"), F.min(F.struct("text", "lang")).alias("x")).select("l_id", "l_toxic", "x.text", "x.lang")
     rows = [(i, bool(x), t, g) for i, x, t, g in text.toLocalIterator()]
     out = {}
     for lang in sorted({g for _, x, _, g in rows if g is not None}):
@@ -172,7 +175,7 @@ def fit_rows(rows: list[tuple[int, bool, str, str | None]]) -> Model | None:
     common = b"".join(x for x, _ in reversed(Counter(samples).most_common()))
     size = max(TOXIC_BYTES, 2 * len(common))
     content = (_train(size, samples * 3) + common)[-size:]
-    model = Model(_train(ORDINARY_BYTES, parts[:4000]), content, 0.0)
+    model = Model(_train(ORDINARY_BYTES, parts), content, bytes(len(content)), 0.0)
     both = model.compressors()
     a = scored(pa.array([t for t, _ in toxic[1::2]], pa.large_string()), both)[0]
     b = scored(pa.array([t for t, _ in plain[1::2]], pa.large_string()), both)[0]

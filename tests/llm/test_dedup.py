@@ -219,6 +219,26 @@ def test_short_items_are_found_at_all_alignments():
             assert hit >= (0.9 if share else 1) * 400, (low, high, share, hit)
 
 
+def test_recall_at_the_bound():
+    """Items of 4 to 60 words with nearly as many edits as are allowed."""
+    r = random.Random(21)
+    vocabulary = words(31, 3000, 3000).split()
+    some = lambda n: " ".join(r.choices(vocabulary, k=n))
+    for n in (4, 8, 12, 20, 60):
+        items = [some(n) for _ in range(100)]
+        index = decontaminate.Index(list(range(100)), items)
+        docs = [some(r.randrange(20, 40)) + " " + _typos(x, k, int(0.09 * len(x))) + " " + some(30) for k, x in enumerate(items)]
+        found = {(d, i) for d, i, _ in index.leaks(pa.array(docs, pa.large_string()))}
+        assert sum((k, k) in found for k in range(100)) >= 95, n
+
+
+def test_tiny_items_match_between_words():
+    items = ["ab", "ab c", "a", "é x"]
+    index = decontaminate.Index(list(range(4)), items)
+    got = index.leaks(pa.array(["AB, c!", "xab c", "ab", "a  b", "É-x", "", None], pa.large_string()))
+    assert {(d, i) for d, i, _ in got} == {(0, 0), (0, 1), (2, 0), (3, 2), (4, 3)}
+
+
 def test_pieces_of_very_long_texts():
     """Parts of a text give the windows that one pass gives."""
     texts = kernel.as_text(pa.array([words(1, 900, 60), words(2, 30), "", words(3, 400, 60)]))

@@ -6,6 +6,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import zstandard as zs
 
 from gleaner.llm import ann, kernel, quality, secrets, toxicity
 
@@ -156,6 +157,27 @@ def test_neighbours_recall_on_isotropic_vectors(spark):
         assert sum(len(got[i] & set(t.tolist())) for i, t in zip(asked.tolist(), top)) >= 0.9 * 10 * len(asked), n
 
 
+def test_window_lengths_match_brute_force():
+    texts = ["grub wort " * 30 + "ordinary words", "", "short", "é" * 100]
+    model = toxicity.Model(b"ordinary words of a text " * 30, b" grub wort ", b" more words", 0.0)
+    g, row = toxicity.gains(kernel.as_text(pa.array(texts)), model.compressors())
+    want = []
+    for r, t in enumerate(texts):
+        b, at = t.encode(), 0
+        while b:
+            w = b[at : at + toxicity.WINDOW]
+            sizes = [len(zs.ZstdCompressor(dict_data=zs.ZstdCompressionDict(d), level=toxicity.LEVEL, write_checksum=False, write_content_size=False, write_dict_id=False).compress(w)) for d in (model.ordinary + model.other, model.ordinary + model.toxic)]
+            want.append((r, sizes[0] - sizes[1]))
+            if at + toxicity.WINDOW >= len(b):
+                break
+            at += toxicity.STEP
+    assert list(zip(row.tolist(), g.tolist())) == want and max(g) > 0
+    score, gain, n = toxicity.scored(kernel.as_text(pa.array(texts)), model.compressors())
+    for r in range(len(texts)):
+        own = sorted((x for k, x in want if k == r), reverse=True) + [0, 0]
+        assert score[r] == max(own[0], 0) + max(own[1], 0) / 2 and n[r] == sum(k == r for k, _ in want)
+
+
 def test_toxic_dictionary_grows_with_its_words():
     r = random.Random(9)
     make = lambda: "".join(r.choice("bcdfghjklmnpqrstvwz") + r.choice("aeiou") for _ in range(5))
