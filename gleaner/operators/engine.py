@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 from dataclasses import dataclass, field
+from datetime import UTC, datetime
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -28,13 +30,25 @@ class Weights:
             raise ValueError("thresholds must rise from label over hold to close")
 
 
+def default_weights(path: str | None = None) -> Weights:
+    """Weights of a tab-separated file: a line for each rule, for the bias and for the cut of each tier."""
+    text = Path(path or Path(__file__).parents[1] / "plans" / "weights.tsv").read_text()
+    w = {k: float(v) for k, v in (line.split("\t") for line in text.splitlines() if line and line[0] != "#")}
+    cuts = {t: w.pop(f"tier {t}") for t in TIERS[1:]}
+    return Weights(w.pop("bias"), w, **cuts)
+
+
 def sigmoid(x: Column) -> Column:
     return 1.0 / (1.0 + F.exp(-x))
 
 
 def melt(df: DataFrame, *keys: str) -> DataFrame:
-    """(keys, rule, value), a row for each fire."""
-    return df.select(*keys, F.explode("fires").alias("fire")).select(*keys, "fire.rule", "fire.value")
+    """(keys, rule, value), a row for each fire.
+
+    The outer form: for the inner one the optimizer adds a filter on the array's size,
+    which it moves below the rules, so that they would all be computed twice.
+    """
+    return df.select(*keys, F.explode_outer("fires").alias("fire")).filter("fire is not null").select(*keys, "fire.rule", "fire.value")
 
 
 def evidence(fires: Column, weights: Weights, ai_policy: Column | None = None) -> Column:
@@ -115,6 +129,15 @@ def outcome(df: DataFrame, exempt: Column) -> DataFrame:
     return df.withColumn("policy_comment", F.when(F.col("outcome") == "close-by-policy", said))
 
 
+def _fitted(w: Weights) -> datetime | None:
+    try:
+        at = datetime.fromisoformat(str(w.meta.get("fitted_at")))
+    except ValueError:
+        return None
+    return at.replace(tzinfo=UTC) if at.tzinfo is None else at
+
+
 def newer(a: Weights, b: Weights) -> Weights:
-    """The one that was fitted later; a if neither says when."""
-    return b if str(b.meta.get("fitted_at", "")) > str(a.meta.get("fitted_at", "")) else a
+    """The one that was fitted later, by RFC 3339 times; one that says when before one that doesn't, a if neither does."""
+    x, y = _fitted(a), _fitted(b)
+    return b if y is not None and (x is None or y > x) else a

@@ -42,14 +42,13 @@ def policy_rules(protected: Sequence[str] = L.PROTECTED_PATHS) -> Rules:
 
 
 def shape_rules() -> Rules:
-    title, body, head, paths = F.trim("title"), F.col("body"), F.col("head_ref"), F.col("paths")
-    low = F.lower(body)
+    """Of a measured() frame."""
+    title, head, paths = F.trim("title"), F.col("head_ref"), F.col("paths")
+    low, hidden, words = F.col("_low"), F.col("_hidden"), F.col("_words")
     web = X.title_is_web_default(title)
-    hidden = X.html_comment_fraction(body)
     span = (F.ln("additions") - math.log(2000)) / (math.log(50000) - math.log(2000))
-    churn, words = F.col("additions") + F.col("deletions"), X.n_words(body)
-    begging = X.hits([low, F.lower(title)], L.BEGGING)
-    scaffold = X.hits([low], L.SCAFFOLD)
+    churn = F.col("additions") + F.col("deletions")
+    begging, scaffold = F.col("_begging"), F.col("_scaffold")
     tested = F.exists(paths, lambda p: F.lower(p).rlike("test|spec"))
     return {
         "BRANCH_DRIVE_BY": hit(head.rlike(r"^(?:main|master|patch-[0-9]+)\z")),
@@ -122,8 +121,7 @@ def dossier_rules() -> Rules:
     most = X.let(titles, lambda ts: F.array_max(F.transform(F.array_distinct(ts), lambda t: F.size(F.filter(ts, lambda u: u == t)))))
     spread = F.size(F.array_distinct(F.transform(prior, lambda p: p["repo_key"]))) / total
     secs, age = d("fork_to_pr_secs"), d("account_age_days")
-    marks = markers()
-    both = lambda name: F.coalesce(d(name), F.lit(False)) | F.coalesce(marks[name], F.lit(False))
+    both = lambda name: F.coalesce(d(name), F.lit(False)) | F.col(f"_mark_{name}")
     return {
         "DOSSIER_ABANDONMENT": capped(left / reviewed, reviewed >= 3),
         "DOSSIER_CLOSED_RATIO": capped(count(lambda p: p["closed_unmerged"]) / total, total >= 5),
@@ -144,18 +142,17 @@ def dossier_rules() -> Rules:
     }
 
 
-def style_rules(prose: Column) -> Rules:
-    s = X.style(prose)
+def style_rules() -> Rules:
+    """Of a measured() frame."""
     scale = {"STYLE_EM_DASH": ("em_dash", 2), "STYLE_UNICODE_PUNCT": ("unicode_punct", 2), "STYLE_EMOJI": ("emoji", 2), "STYLE_NONASCII": ("nonascii", 20), "STYLE_AI_PHRASES": ("ai_phrases", 3), "STYLE_STRUCTURE": ("structure", 1)}
-    return {rule: capped(s[name] / float(k), s[name] > 0) for rule, (name, k) in scale.items()}
+    return {rule: capped(F.col(f"_style_{name}") / float(k), F.col(f"_style_{name}") > 0) for rule, (name, k) in scale.items()}
 
 
 def policy_ai_rules() -> Rules:
     """Rules that a repository's policy on generated work adds; needs ai_policy."""
-    marks = markers()
     m = F.lit(False)
-    for name, own in marks.items():
-        m = m | F.coalesce(own, F.lit(False)) | F.coalesce(F.col(f"dossier.{name}"), F.lit(False))
+    for name in ("agent_email", "agent_trailer", "generation_footer"):
+        m = m | F.col(f"_mark_{name}") | F.coalesce(F.col(f"dossier.{name}"), F.lit(False))
     return {
         "UNDISCLOSED_AI": hit((F.col("ai_policy") == "disclose") & ~m & (F.col("detector_score") >= 0.7)),
         "AI_FORBIDDEN": hit((F.col("ai_policy") == "forbid") & m),
@@ -163,9 +160,32 @@ def policy_ai_rules() -> Rules:
 
 
 def fires(df: DataFrame, rules: Mapping[str, Column], name: str = "fires") -> DataFrame:
-    """df with the array of the rules that fire, as (rule, value)."""
-    values = [F.when(v.isNotNull(), F.struct(F.lit(r).alias("rule"), F.greatest(F.lit(0.0), v.cast("double")).alias("value"))) for r, v in rules.items()]
-    return df.withColumn(name, F.filter(F.array(*values), lambda x: x.isNotNull()))
+    """df with the array of the rules that fire, as (rule, value).
+
+    Values are columns of a projection of their own: each is used twice after it, so
+    the optimizer doesn't fold the two, and each is computed once a row.
+    """
+    d = df.withColumns({f"_rule_{r}": v.cast("double") for r, v in rules.items()})
+    values = [F.when(F.col(f"_rule_{r}").isNotNull(), F.struct(F.lit(r).alias("rule"), F.greatest(F.lit(0.0), F.col(f"_rule_{r}")).alias("value"))) for r in rules]
+    return d.withColumn(name, F.filter(F.array(*values), lambda x: x.isNotNull())).drop(*[f"_rule_{r}" for r in rules])
+
+
+def measured(df: DataFrame) -> DataFrame:
+    """df with the measures that several rules or parts of a rule use, in a projection of their own."""
+    prose = F.concat_ws("\n", F.coalesce("title", F.lit("")), F.coalesce("body", F.lit("")))
+    df = df.withColumns({"_low": F.lower("body"), "_prose": prose})
+    low, both = F.col("_low"), [F.col("_low"), F.lower(F.trim("title"))]
+    marks = {f"_mark_{k}": F.coalesce(v, F.lit(False)) for k, v in markers().items()} if {"commit_messages", "commit_emails"} <= set(df.columns) else {}
+    return df.withColumns(
+        {
+            "_hidden": X.html_comment_fraction(F.col("body")),
+            "_words": X.n_words(F.col("body")),
+            "_begging": X.hits(both, L.BEGGING),
+            "_scaffold": X.hits([low], L.SCAFFOLD),
+            **{f"_style_{k}": v for k, v in X.style(F.col("_prose")).items()},
+            **marks,
+        }
+    )
 
 
 def exempt(users: Sequence[str] = L.EXEMPT_USERS, labels: Sequence[str] = ("triage-override",)) -> Column:
@@ -175,16 +195,15 @@ def exempt(users: Sequence[str] = L.EXEMPT_USERS, labels: Sequence[str] = ("tria
 
 def all_rules(df: DataFrame) -> DataFrame:
     """df (schemas.REQUEST, with ai_policy and a cluster view's columns if it has them) with every rule's fires."""
-    have = set(df.columns)
-    prose = F.concat_ws("\n", F.coalesce("title", F.lit("")), F.coalesce("body", F.lit("")))
-    df = df.withColumn("code_values", code_lane.code_rule_values("diff"))
+    have, keep = set(df.columns), df.columns
+    df = measured(df.withColumn("code_values", code_lane.code_rule_values("diff")))
     rules = policy_rules() | shape_rules() | diff_rules() | code_rules()
     if {"size", "distinct_repos", "distinct_authors", "burst", "style_cohesion"} <= have:
         rules |= cluster_rules()
-    rules |= dossier_rules() | style_rules(prose)
+    rules |= dossier_rules() | style_rules()
     if "token_score" in have:
         rules["BODY_TOKEN_SCORE"] = F.col("token_score")
     rules["DETECTOR_SCORE"] = F.col("detector_score")
     if "ai_policy" in have:
         rules |= policy_ai_rules()
-    return fires(df, rules).drop("code_values")
+    return fires(df, rules).select(*keep, "fires")

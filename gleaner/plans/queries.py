@@ -13,8 +13,9 @@ from gleaner.functions import lexicons as L
 from gleaner.functions import text as X
 from gleaner.operators import clusters, engine, evaluate, federation, history, learn, rules
 from gleaner.operators import signatures as S
-from gleaner.plans.views import REQUESTS, WEIGHTS, requests, table
-from gleaner.session import written
+from gleaner.plans.records import WEIGHTS, fired, fires_sql, records
+from gleaner.plans.views import REQUESTS, requests, table
+from gleaner.session import spread, written
 from gleaner.sources import events as E
 from gleaner.sources import store
 
@@ -62,38 +63,8 @@ def _style_sql(col: str) -> dict[str, str]:
 _STYLE = ", ".join(f"{sql} AS {k}" for k, sql in _style_sql("prose").items())
 _hits = lambda cols, ps: " + ".join("CASE WHEN " + " OR ".join(f"contains({c}, '{_q(p)}')" for c in cols) + " THEN 1 ELSE 0 END" for p in ps)
 _any = lambda col, ps: "(" + " OR ".join(f"contains({col}, '{_q(p)}')" for p in ps) + ")"
-FIRES = f"""{REQUESTS}, st AS (SELECT *, {_STYLE} FROM (SELECT *, title || chr(10) || body AS prose FROM req)),
-h AS (SELECT *, {_hits(["lower(body)", "lower(trim(title))"], L.BEGGING)} AS begging, {_hits(["lower(body)"], L.SCAFFOLD)} AS scaffold, {_n("body", _SP)} AS words,
-  CASE WHEN body = '' THEN 0.0 ELSE list_sum(list_transform(regexp_extract_all(body, '(?s)<!--.*?(?:-->|\\z)'), lambda x: length(x))) / length(body) END AS hidden FROM st),
-fire AS (
-  SELECT doc_id, 'DOCS_ONLY' AS rule, 1.0 AS value FROM h
-  UNION ALL SELECT doc_id, 'BODY_EMPTY', 1.0 FROM h WHERE NOT regexp_matches(body, '{_SP}')
-  UNION ALL SELECT doc_id, 'TEMPLATE_IGNORED', 1.0 FROM h WHERE regexp_matches(body, '{_SP}') AND NOT contains(body, '# Summary') AND NOT contains(body, '# Testing')
-  UNION ALL SELECT doc_id, 'TITLE_UPDATE_FILE', 1.0 FROM h WHERE regexp_matches(trim(title), '(?i)^(update|create|add|delete)\\s+\\S*\\.(md|txt|rst)$')
-  UNION ALL SELECT doc_id, 'SINGLE_WEB_COMMIT', 1.0 FROM h WHERE regexp_matches(trim(title), '(?i)^(update|create|add|delete)\\s+\\S*\\.(md|txt|rst)$')
-  UNION ALL SELECT doc_id, 'TEMPLATE_UNFILLED', hidden FROM h WHERE hidden >= 0.6
-  UNION ALL SELECT doc_id, 'BODY_DIFF_MISMATCH', 1.0 FROM h WHERE {_any("lower(body)", L.TEST_CLAIMS)}
-  UNION ALL SELECT doc_id, 'DIFF_ENORMOUS', least((ln(additions) - ln(2000)) / (ln(50000) - ln(2000)), 1.0) FROM h WHERE additions >= 2000
-  UNION ALL SELECT doc_id, 'BODY_TO_DIFF_RATIO', least(words / additions / 100.0, 1.0) FROM h WHERE additions > 0 AND additions < 20 AND words > 150
-  UNION ALL SELECT doc_id, 'BEGGING', least(begging / 2.0, 1.0) FROM h WHERE begging > 0
-  UNION ALL SELECT doc_id, 'USERNAME_PATTERN', 1.0 FROM h WHERE regexp_matches(author, '[0-9]{{4,}}$') OR len(regexp_extract_all(author, '[0-9]')) / strlen(author) > 0.4
-  UNION ALL SELECT doc_id, 'BODY_SCAFFOLD', least(scaffold / 4.0, 1.0) FROM h WHERE scaffold >= 2
-  UNION ALL SELECT doc_id, 'STYLE_EM_DASH', least(em_dash / 2.0, 1.0) FROM h WHERE em_dash > 0
-  UNION ALL SELECT doc_id, 'STYLE_UNICODE_PUNCT', least(unicode_punct / 2.0, 1.0) FROM h WHERE unicode_punct > 0
-  UNION ALL SELECT doc_id, 'STYLE_EMOJI', least(emoji / 2.0, 1.0) FROM h WHERE emoji > 0
-  UNION ALL SELECT doc_id, 'STYLE_NONASCII', least(nonascii / 20.0, 1.0) FROM h WHERE nonascii > 0
-  UNION ALL SELECT doc_id, 'STYLE_AI_PHRASES', least(ai_phrases / 3.0, 1.0) FROM h WHERE ai_phrases > 0
-  UNION ALL SELECT doc_id, 'STYLE_STRUCTURE', structure FROM h WHERE structure > 0
-), w AS (SELECT unnest([{", ".join(f"'{k}'" for k in WEIGHTS.rules)}]) AS rule, unnest([{", ".join(map(str, WEIGHTS.rules.values()))}]) AS weight),
-scored AS (SELECT r.doc_id, {WEIGHTS.bias} + coalesce(sum(f.value * coalesce(w.weight, 0)), 0) AS score FROM req r LEFT JOIN fire f ON r.doc_id = f.doc_id LEFT JOIN w ON f.rule = w.rule GROUP BY 1),
-verdict AS (SELECT *, 1 / (1 + exp(-score)) AS probability FROM scored),
-tiered AS (SELECT *, CASE WHEN probability >= {WEIGHTS.close} THEN 'close' WHEN probability >= {WEIGHTS.hold} THEN 'hold' WHEN probability >= {WEIGHTS.label} THEN 'label' ELSE 'pass' END AS tier FROM verdict)"""
-
-
-def _fired(spark: SparkSession, d: str) -> DataFrame:
-    r = requests(spark, d)
-    prose = F.concat_ws("\n", "title", "body")
-    return rules.fires(r, rules.policy_rules() | rules.shape_rules() | rules.style_rules(prose)).select("doc_id", "repo", "fires")
+FIRES = fires_sql(_style_sql("prose"), _hits, _any, _n)
+_fired = fired
 
 
 # --- text ---------------------------------------------------------------------
@@ -102,7 +73,7 @@ def _fired(spark: SparkSession, d: str) -> DataFrame:
 @query(f"SELECT doc_id, {', '.join(f'round({k}, 6) AS {k}' for k in X.STYLE)} FROM (SELECT doc_id, {', '.join(f'{sql} AS {k}' for k, sql in _style_sql('t').items())} FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents))")
 def style_features(spark, d):
     s = X.style(F.coalesce("text", F.lit("")))
-    return table(spark, d, "documents").select("doc_id", *[F.round(c, 6).alias(k) for k, c in s.items()])
+    return spread(table(spark, d, "documents")).select("doc_id", *[F.round(c, 6).alias(k) for k, c in s.items()])
 
 
 @query("SELECT page_id, round(CASE WHEN html = '' THEN 0.0 ELSE list_sum(list_transform(regexp_extract_all(html, '(?s)<!--.*?(?:-->|\\z)'), lambda x: length(x))) / length(html) END, 6) AS fraction FROM pages")
@@ -162,8 +133,10 @@ def diff_measures(spark, d):
 
 @query()
 def diff_fires(spark, d):
-    r = requests(spark, d).withColumn("commit_times", F.lit(None).cast("array<long>"))
-    return engine.melt(rules.fires(r, rules.diff_rules()), "doc_id")
+    return engine.melt(rules.fires(records(spark, d), rules.diff_rules()), "doc_id").withColumn("value", F.round("value", 6))
+
+
+ORACLES["diff_fires"] = f"WITH {FIRES} SELECT doc_id, rule, round(value, 6)::DOUBLE AS value FROM fire WHERE rule IN ('WHITESPACE_ONLY', 'COMMENT_HEAVY', 'GROUNDING_MISS', 'AUTHORING_RATE', 'CODE_PLACEHOLDER', 'CODE_COMMENT_RESTATE', 'CODE_GENERIC_IDENT')"
 
 
 @query()
@@ -284,16 +257,16 @@ def score_tier(spark, d):
     return s.select("doc_id", F.round("score", 6).alias("score"), F.round("probability", 6).alias("probability"), "tier")
 
 
-@query(f"WITH {FIRES} SELECT doc_id, round(score, 6)::DOUBLE AS score FROM scored WHERE doc_id IN (SELECT doc_id FROM fire)")
+@query(f"WITH {FIRES} SELECT doc_id, round({WEIGHTS.bias} + sum(value * coalesce(w.weight, 0)), 6)::DOUBLE AS score FROM fire LEFT JOIN w USING (rule) GROUP BY 1")
 def score_by_weight_table(spark, d):
     w = spark.createDataFrame(sorted(WEIGHTS.rules.items()), "rule string, weight double")
     return engine.score_long(engine.melt(_fired(spark, d), "doc_id"), w, WEIGHTS.bias, "doc_id").select("doc_id", F.round("score", 6).alias("score"))
 
 
-@query(f"WITH {FIRES}, c AS (SELECT doc_id, rule, round(value * coalesce(weight, 0), 6) AS contribution FROM fire LEFT JOIN w USING (rule)) SELECT doc_id, contribution::DOUBLE AS contribution, rank FROM (SELECT *, (row_number() OVER (PARTITION BY doc_id ORDER BY abs(contribution) DESC))::INTEGER AS rank FROM c) WHERE rank <= 3")
+@query(f"WITH {FIRES}, c AS (SELECT doc_id, rule, round(value * weight, 9) AS contribution FROM priced) SELECT doc_id, contribution::DOUBLE AS contribution, rank FROM (SELECT *, (row_number() OVER (PARTITION BY doc_id ORDER BY abs(contribution) DESC))::INTEGER AS rank FROM c) WHERE rank <= 3")
 def evidence_topk(spark, d):
     s = engine.score(_fired(spark, d), WEIGHTS).select("doc_id", F.posexplode(F.slice("evidence", 1, 3)).alias("i", "e"))
-    return s.select("doc_id", F.round("e.contribution", 6).alias("contribution"), (F.col("i") + 1).alias("rank"))
+    return s.select("doc_id", F.round("e.contribution", 9).alias("contribution"), (F.col("i") + 1).alias("rank"))
 
 
 @query(f"WITH {FIRES} SELECT doc_id, CASE tier WHEN 'pass' THEN 'none' ELSE tier END AS action, tier = 'hold' AS challenge, CASE WHEN tier <> 'pass' THEN printf('%.3f', probability) END AS said FROM tiered")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.operators.engine import Weights
+from gleaner.session import spread
 
 
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -15,7 +15,7 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
 def requests(spark: SparkSession, d: str) -> DataFrame:
     """Documents as change requests: the source is the repository, the text is the body and the added lines."""
     t = F.coalesce("text", F.lit(""))
-    return table(spark, d, "documents").select(
+    return spread(table(spark, d, "documents")).select(
         "doc_id",
         F.col("source").alias("repo"),
         F.concat_ws("-", "source", F.col("doc_id").cast("string")).alias("author"),
@@ -34,12 +34,3 @@ def requests(spark: SparkSession, d: str) -> DataFrame:
 
 REQUESTS = """req AS (SELECT doc_id, source AS repo, source || '-' || doc_id AS author, substr(coalesce(text, ''), 1, 60) AS title, coalesce(text, '') AS body, n_chars AS additions,
   source || '/' || lang AS head_ref, '+' || replace(coalesce(text, ''), chr(10), chr(10) || '+') AS diff FROM documents)"""
-
-#: weights of the registered queries; a fit gives others
-WEIGHTS = Weights(
-    -1.5,
-    {"BODY_EMPTY": 0.5, "DOCS_ONLY": 0.25, "TEMPLATE_IGNORED": 0.75, "DIFF_ENORMOUS": 1.25, "BEGGING": 0.5, "USERNAME_PATTERN": 0.75, "BODY_SCAFFOLD": 0.5, "STYLE_EM_DASH": 0.5, "STYLE_UNICODE_PUNCT": 0.25, "STYLE_EMOJI": 0.5, "STYLE_NONASCII": 0.75, "STYLE_AI_PHRASES": 1.0, "STYLE_STRUCTURE": 0.5},
-    0.35,
-    0.5,
-    0.6,
-)

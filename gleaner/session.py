@@ -1,15 +1,12 @@
-"""Tables in the folder that all executors share, and joins of checked sizes."""
+"""Tables in the folder that all executors share, and rows over all cores."""
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-#: rows of a few numbers each; a side with more is joined by a shuffle
-BROADCAST_ROWS = 1_000_000
 
 
 def written(df: DataFrame) -> DataFrame:
@@ -17,13 +14,22 @@ def written(df: DataFrame) -> DataFrame:
     spark: SparkSession = df.sparkSession
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:  # a session of one machine, as in tests
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         base = tempfile.mkdtemp(prefix="gleaner-")
         spark.sparkContext.setCheckpointDir(base)
     path = f"{base.rstrip('/')}/triage-{uuid.uuid4().hex}"
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(folder)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
-    """df, marked for broadcast if it has at most so many rows."""
-    return F.broadcast(df) if df.count() <= most else df
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores before dear expressions, if its files are too small to be read by as many tasks; rows stay what they are."""
+    spark: SparkSession = df.sparkSession
+    cores, conf = spark.sparkContext.defaultParallelism, spark._jsc.hadoopConfiguration()
+    paths = [spark._jvm.org.apache.hadoop.fs.Path(f) for f in df.inputFiles()]
+    size = sum(p.getFileSystem(conf).getFileStatus(p).getLen() for p in paths)
+    # a task for each row group at best; the usual one has 128 MB
+    return df.repartition(cores) if size < cores * (128 << 20) else df
