@@ -76,14 +76,15 @@ def shingles(toks: Column, n: int) -> Column:
 
 
 def _rate(num: Column, den: Column, most: float) -> Column:
-    # no branch, so that common parts are computed once a row
-    return F.coalesce(F.least(num * 100.0 / F.nullif(den, F.lit(0)), F.lit(most)), F.lit(0.0))
+    # no branch, so that common parts are computed once a row; without a word or character there is nothing to count either
+    return F.least(num * 100.0 / F.greatest(den, F.lit(1)), F.lit(most))
 
 
 def style(col: Column) -> dict[str, Column]:
     """The seven style measures of a text."""
     low, chars, words = F.lower(col), F.length(col), n_words(col)
-    em = count(col, r"\x{2014}") + occurrences(low, " -- ")
+    em = occurrences(col, "\u2014") + occurrences(low, " -- ")
+    ends = reduce(lambda x, y: x + y, [occurrences(col, c) for c in ".!?"])
     other = count(col, rf"[^\x{{0}}-\x{{7F}}\x{{2014}}{CURLY}{EMOJI}]")
     phrases = reduce(lambda x, y: x + y, [occurrences(low, p) for p in L.AI_PHRASES])
     n = n_lines(col)
@@ -94,7 +95,7 @@ def style(col: Column) -> dict[str, Column]:
         "nonascii": _rate(other, chars, 100.0),
         "ai_phrases": _rate(phrases, words, 10.0),
         "structure": F.when(n > 0, count(col, r"(?dm)^[^\S\n]*(?:#|- |\* |\*\*)") / n).otherwise(F.lit(0.0)),
-        "sentence_len": F.least(words / F.greatest(count(col, "[.!?]"), F.lit(1)) / 40.0, F.lit(1.0)),
+        "sentence_len": F.least(words / F.greatest(ends, F.lit(1)) / 40.0, F.lit(1.0)),
     }
 
 

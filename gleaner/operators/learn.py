@@ -5,14 +5,15 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gleaner.functions.text import tokens
 from gleaner.operators.engine import Weights, sigmoid
+from gleaner.session import written
 
 CLAMP, SUM_CLAMP, LEAST_DOCS, TOP_TOKENS, LEAST_MATCHES = 3.0, 12.0, 3, 400, 3
-FIT_ROWS = 200_000
 
 
 def distinct_tokens(df: DataFrame, *keys: str, text: str = "text") -> DataFrame:
@@ -82,38 +83,85 @@ def features(df: DataFrame, rules: Sequence[str]) -> DataFrame:
     return df.withColumn("x", F.array(*[value(r) for r in rules]))
 
 
-def gradient_descent(x: np.ndarray, y: np.ndarray, w: np.ndarray, rate: float = 0.5, rounds: int = 4000, l2: float = 1e-3) -> tuple[float, np.ndarray]:
-    """(bias, coefficients >= 0) of the weighted logistic regression; the bias isn't penalised."""
-    beta, bias, total = np.zeros(x.shape[1]), 0.0, max(w.sum(), 1e-9)
+def _sums(theta: np.ndarray):
+    """Partial sums of a batch: loss, gradient and Hessian of the weighted logistic loss, as (cell, value) rows."""
+
+    def run(batches):
+        n = len(theta)
+        total = np.zeros(1 + n + n * n)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x = np.hstack([np.ones((batch.num_rows, 1)), batch.column(0).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, n - 1)])
+            y, w = batch.column(1).to_numpy(), batch.column(2).to_numpy()
+            z = x @ theta
+            p = 1 / (1 + np.exp(-z))
+            total[0] += (w * (np.logaddexp(0, z) - y * z)).sum()
+            total[1 : 1 + n] += x.T @ (w * (p - y))
+            total[1 + n :] += ((x * (w * p * (1 - p))[:, None]).T @ x).ravel()
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total), dtype=np.int32)), pa.array(total)], ["cell", "value"])
+
+    return run
+
+
+def _nonnegative(h: np.ndarray, g: np.ndarray, theta: np.ndarray) -> np.ndarray:
+    """The least point of the quadratic model at theta in which all but the first number are >= 0, by coordinates."""
+    d, slope = theta.copy(), g - h @ theta
+    for _ in range(500):
+        before = d.copy()
+        for k in range(len(d)):
+            if h[k, k] > 0:
+                v = d[k] - (slope[k] + h[k] @ d) / h[k, k]
+                d[k] = v if k == 0 else max(v, 0.0)
+        if np.abs(d - before).max() < 1e-12:
+            break
+    return d
+
+
+def newton(sums, n: int, l2: float = 1e-3, rounds: int = 40) -> tuple[float, np.ndarray]:
+    """(bias, coefficients >= 0) of the least penalised loss; sums(theta): (loss, gradient, Hessian) a unit of weight."""
+
+    def at(theta):
+        loss, g, h = sums(theta)
+        own = np.append(0.0, np.full(n, l2))
+        return loss + 0.5 * (own * theta * theta).sum(), g + own * theta, h + np.diag(own) + 1e-9 * np.eye(n + 1)
+
+    theta = np.zeros(n + 1)
+    loss, g, h = at(theta)
     for _ in range(rounds):
-        err = (1 / (1 + np.exp(-(bias + x @ beta))) - y) * w
-        bias -= rate * err.sum() / total
-        beta = np.maximum(beta - rate * (x.T @ err / total + l2 * beta), 0.0)
-    return bias, beta
-
-
-def fit(examples: DataFrame, rules: Sequence[str], most: int = FIT_ROWS) -> Weights:
-    """Weights from (fires, is_slop, sample_weight).
-
-    Equal feature rows are merged with their weights summed, which leaves the
-    objective as it is; up to most of them are fitted on the driver, more by
-    distributed L-BFGS with the same bounds.
+        step = _nonnegative(h, g, theta) - theta
+        if np.abs(step).max() < 1e-7:
+            break
+        size = 1.0
+        while True:
+            new = theta + size * step
+            after = at(new)
+            if after[0] <= loss or size < 1e-4:
+                break
+            size /= 2
+        theta, (loss, g, h) = new, after
+    return float(theta[0]), theta[1:]
+
+
+def fit(examples: DataFrame, rules: Sequence[str]) -> Weights:
+    """Weights from (fires, is_slop, sample_weight), the same way at every size.
+
+    Equal feature rows are merged with their weights summed, which leaves the objective
+    as it is.  They stay where they are: a Newton round sends the coefficients out, and
+    the tasks' sums (one number for each two rules) are added up by Spark.
     """
     d = features(examples, rules).groupBy("x", F.col("is_slop").cast("double").alias("y")).agg(F.sum(F.coalesce("sample_weight", F.lit(1.0)).cast("double")).alias("w"))
-    if d.count() <= most:
-        rows = d.toPandas()
-        rows = rows.sort_values(["y", "w"], kind="stable") if len(rows) else rows
-        x = np.array(rows["x"].tolist(), float).reshape(len(rows), len(rules))
-        bias, beta = gradient_descent(x, rows["y"].to_numpy(float), rows["w"].to_numpy(float))
-    else:
-        from pyspark.ml.classification import LogisticRegression
-        from pyspark.ml.functions import array_to_vector
-        from pyspark.ml.linalg import Matrices
-
-        lr = LogisticRegression(featuresCol="v", labelCol="y", weightCol="w", regParam=1e-3, elasticNetParam=0.0, standardization=False, lowerBoundsOnCoefficients=Matrices.dense(1, len(rules), [0.0] * len(rules)))
-        m = lr.fit(d.withColumn("v", array_to_vector("x")))
-        bias, beta = m.intercept, m.coefficients.toArray()
-    return Weights(float(bias), dict(zip(rules, map(float, beta))))
+    d, n = written(d), len(rules)
+    total = max(d.agg(F.sum("w")).first()[0] or 0.0, 1e-9)
+
+    def sums(theta):
+        out = np.zeros(1 + (n + 1) + (n + 1) ** 2)
+        for cell, value in d.mapInArrow(_sums(theta), "cell int, value double").groupBy("cell").agg(F.sum("value")).toLocalIterator():
+            out[cell] = value / total
+        return out[0], out[1 : n + 2], out[n + 2 :].reshape(n + 1, n + 1)
+
+    bias, beta = newton(sums, n)
+    return Weights(bias, dict(zip(rules, map(float, beta))))
 
 
 def probabilities(examples: DataFrame, weights: Weights) -> DataFrame:
@@ -133,8 +181,6 @@ def tier_thresholds(examples: DataFrame, weights: Weights) -> tuple[float, float
 def holdout(feedback: DataFrame, order: str, every: int = 5) -> DataFrame:
     """feedback with holdout, true for every fifth row in order: ranks come from range offsets, so no task holds all rows."""
     d = feedback.repartitionByRange(order).withColumn("_part", F.spark_partition_id())
-    from gleaner.session import written
-
     d = written(d)
     n = d.groupBy("_part").agg(F.count("*").alias("_n"))
     base = n.withColumn("_base", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")

@@ -98,14 +98,13 @@ def cluster_rules() -> Rules:
 def markers() -> dict[str, Column]:
     """Traces that agents leave: commit addresses, trailers and footer lines."""
     messages = F.col("commit_messages")
-    trimmed = lambda t: F.transform(X.lines(F.lower(t)), F.trim)
-    trailer = "^(?:co-authored-by:.*(?:" + "|".join(L.AGENT_TRAILERS) + ")|claude-session:)"
-    foot = "^(?:" + "|".join(X.literal(f) for f in L.FOOTERS) + ")"
-    footed = lambda t: F.exists(trimmed(t), lambda x: x.rlike(foot))
+    # lines by a multi-line pattern: nothing is split
+    trailer = "(?dm)^ *(?:co-authored-by:.*(?:" + "|".join(L.AGENT_TRAILERS) + ")|claude-session:)"
+    foot = "(?dm)^ *(?:" + "|".join(X.literal(f) for f in L.FOOTERS) + ")"
     return {
         "agent_email": F.exists(F.col("commit_emails"), lambda e: F.lower(e).isin(*L.AGENT_EMAILS)),
-        "agent_trailer": F.exists(messages, lambda m: F.exists(trimmed(m), lambda x: x.rlike(trailer))),
-        "generation_footer": footed(F.col("body")) | F.exists(messages, footed),
+        "agent_trailer": F.exists(messages, lambda m: F.lower(m).rlike(trailer)),
+        "generation_footer": F.lower(F.coalesce("body", F.lit(""))).rlike(foot) | F.exists(messages, lambda m: F.lower(m).rlike(foot)),
     }
 
 

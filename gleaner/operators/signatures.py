@@ -126,10 +126,28 @@ def minhash_pairs(sig: DataFrame, id_col: str = "id", sig_col: str = "mins", lea
     return _verified(_pairs(keyed, id_col), s, id_col, sig_col, estimated_jaccard(F.col("sa"), F.col("sb"))).filter(F.col("measure") >= least).select("a", "b", F.col("measure").alias("jaccard"))
 
 
-def edges(sig: DataFrame, id_col: str = "id", scope: str | None = None) -> DataFrame:
-    """(a, b) of all rows that are near in the diff's or the text's signature; scope names a column that both must agree in."""
+def edges(sig: DataFrame, id_col: str = "id", scope: str | None = None, stars: bool = False) -> DataFrame:
+    """(a, b) of all rows that are near in the diff's or the text's signature; scope names a column that both must agree in.
+
+    stars: rows with equal signatures are linked to the least of them alone, and only
+    that one goes into the join, so a wave of copies is as many edges.  What is
+    connected stays so; clusters as of arrival need all edges.
+    """
     s = written(sig)
-    e = simhash_pairs(s, id_col).select("a", "b").union(minhash_pairs(s, id_col).select("a", "b")).distinct()
+    out = None
+    for col, pairs in (("sim", simhash_pairs), ("mins", minhash_pairs)):
+        x = s.filter(F.col(col).isNotNull())
+        if stars:
+            own = x.groupBy(col, *([scope] if scope else [])).agg(F.min(id_col).alias("rep"))
+            same = (F.col("l") == F.col("r")) & (F.col("ls").eqNullSafe(F.col("rs")) if scope else F.lit(True))
+            left = x.select(F.col(id_col).alias("b"), F.col(col).alias("l"), *([F.col(scope).alias("ls")] if scope else []))
+            right = own.select(F.col("rep").alias("a"), F.col(col).alias("r"), *([F.col(scope).alias("rs")] if scope else []))
+            linked = left.join(right, same).filter("a <> b").select("a", "b")
+            out = linked if out is None else out.union(linked)
+            x = written(own.withColumnRenamed("rep", id_col))
+        e = pairs(x, id_col).select("a", "b")
+        out = e if out is None else out.union(e)
+    e = out.distinct()
     if scope:
         x = s.select(F.col(id_col).alias("a"), F.col(scope).alias("sa"))
         y = s.select(F.col(id_col).alias("b"), F.col(scope).alias("sb"))

@@ -193,7 +193,7 @@ reach AS (SELECT a AS id, a AS r FROM e UNION SELECT reach.id, e.b FROM reach JO
 
 @query(f"{_CC} SELECT * FROM cc")
 def components(spark, d):
-    return clusters.components(S.edges(_signed(spark, d).select(F.col("doc_id").alias("id"), "sim", "mins")))
+    return clusters.components(S.edges(_signed(spark, d).select(F.col("doc_id").alias("id"), "sim", "mins"), stars=True))
 
 
 @query(
@@ -204,7 +204,7 @@ SELECT cluster, count(*) AS size, count(DISTINCT repo) AS distinct_repos, count(
 )
 def cluster_stats(spark, d):
     s = written(_signed(spark, d))
-    cc = clusters.components(S.edges(s.select(F.col("doc_id").alias("id"), "sim", "mins")))
+    cc = clusters.components(S.edges(s.select(F.col("doc_id").alias("id"), "sim", "mins"), stars=True))
     st = s.select(F.col("doc_id").alias("id"), "repo", "author", *[c.alias(k) for k, c in X.style(F.col("prose")).items()]).join(cc, "id")
     return clusters.cluster_stats(st).withColumn("style_cohesion", F.round("style_cohesion", 6))
 

@@ -213,6 +213,7 @@ def fires_sql(style: dict[str, str], hits, contains_any, count) -> str:
         ("AGENT_BRANCH", "1.0", "doc_id % 9 IN (2, 3)"),
         ("BODY_SCAFFOLD", "least(scaffold / 4.0, 1.0)", "scaffold >= 2"),
         *[(r, repr(v), f"doc_id % 16 = {k}") for k, r, v in _DIFF_RULES],
+        ("WHITESPACE_ONLY", "1.0", r"doc_id % 16 > 5 AND NOT regexp_matches(coalesce(text, ''), '[\p{L}\p{N}]')"),
         ("GROUNDING_MISS", "1.0", f"doc_id % 29 = 9 AND {_TAILED}"),
         ("AUTHORING_RATE", "least(ln(pace) / ln(4000), 1.0)", "additions >= 200 AND pace >= 500"),
         ("CLUSTER_SIZE_LOG", "least(ln(size) / ln(50), 1.0)", "crowd"),
@@ -243,7 +244,7 @@ def fires_sql(style: dict[str, str], hits, contains_any, count) -> str:
     ]
     welcome = ", ".join(f"'{r}'" for r in L.AI_STYLE_RULES)
     hidden = "CASE WHEN body = '' THEN 0.0 ELSE coalesce(list_sum(list_transform(regexp_extract_all(body, '(?s)<!--.*?(?:-->|\\z)'), lambda x: length(x))), 0) / length(body) END"
-    return f"""req AS (SELECT {', '.join(columns(False))} FROM documents),
+    return f"""req AS (SELECT {', '.join(columns(False))}, text FROM documents),
 h AS MATERIALIZED (SELECT *, {', '.join(f'{sql} AS {k}' for k, sql in style.items())}, {hits(['lower(body)', 'lower(trim(title))'], L.BEGGING)} AS begging, {hits(['lower(body)'], L.SCAFFOLD)} AS scaffold,
   {count('body', _SPACED)} AS words, regexp_matches(body, '{_SPACED}') AS filled, {hidden} AS hidden, additions + deletions AS churn, additions / greatest(doc_id % 50 * 60 / 3600.0, 1 / 60.0) AS pace, size >= 2 AND distinct_authors >= 2 AS crowd,
   doc_id % 47 = 5 OR doc_id % 43 = 1 AS email, doc_id % 53 = 6 OR doc_id % 43 = 2 AS trailer, doc_id % 31 = 10 AND {_TAILED} OR doc_id % 43 = 3 AS footer, {_DOSSIER}

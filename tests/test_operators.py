@@ -138,14 +138,28 @@ def test_fit_and_guarded_promotion(spark):
     assert noise["promoted"] or noise["candidate_auc"] < noise["incumbent_auc"]
 
 
-def test_gradient_matches_mllib(spark):
+def test_fit_is_the_least_point(spark):
     r = np.random.default_rng(4)
-    x = r.random((300, 2))
-    y = (r.random(300) < 1 / (1 + np.exp(-(4 * x[:, 0] - 2)))).astype(float)
-    rows = [(int(i), [{"rule": "A", "value": float(a)}, {"rule": "B", "value": float(b)}], bool(t), 1.0) for i, ((a, b), t) in enumerate(zip(x, y))]
+    x = r.random((300, 3))
+    y = (r.random(300) < 1 / (1 + np.exp(-(4 * x[:, 0] - 3 * x[:, 2] - 1)))).astype(float)
+    w = 1.0 + 4 * (np.arange(300) % 7 == 0)
+    rows = [(i, [{"rule": k, "value": float(v)} for k, v in zip("ABC", a)], bool(t), float(u)) for i, (a, t, u) in enumerate(zip(x, y, w))]
     ex = spark.createDataFrame(rows, "id long, fires array<struct<rule:string,value:double>>, is_slop boolean, sample_weight double")
-    near, far = learn.fit(ex, ["A", "B"]), learn.fit(ex, ["A", "B"], most=10)
-    assert near.rules["A"] == pytest.approx(far.rules["A"], rel=0.1) and near.bias == pytest.approx(far.bias, rel=0.15)
+    got = learn.fit(ex.repartition(3), list("ABC"))
+    # the reference's gradient rounds, carried on until they stand still
+    beta, bias = np.zeros(3), 0.0
+    for _ in range(60_000):
+        err = (1 / (1 + np.exp(-(bias + x @ beta))) - y) * w
+        bias -= 0.5 * err.sum() / w.sum()
+        beta = np.maximum(beta - 0.5 * (x.T @ err / w.sum() + 1e-3 * beta), 0.0)
+    assert got.bias == pytest.approx(bias, abs=1e-4) and [got.rules[k] for k in "ABC"] == pytest.approx(beta.tolist(), abs=1e-4) and got.rules["C"] == 0.0
+    assert learn.fit(ex.limit(0), ["A"]).rules == {"A": 0.0}
+
+
+def test_newer_compares_instants():
+    at = lambda t: engine.Weights(0.0, {}, meta={"fitted_at": t} if t else {})
+    a, b, none = at("2026-08-10T01:00:00+02:00"), at("2026-08-09T23:30:00Z"), at(None)
+    assert engine.newer(a, b) is b and engine.newer(b, a) is b and engine.newer(none, a) is a and engine.newer(a, none) is a and engine.newer(none, at("soon")) is none
 
 
 def test_tokens(spark):
