@@ -4,11 +4,13 @@ import datetime as dt
 import hashlib
 import hmac
 import json
+import os
 
 import pandas as pd
+import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 
-from gleaner.operators import clusters
+from gleaner.operators import clusters, engine, rules
 from gleaner.operators import signatures as S
 from gleaner.sources import corpus, events, store
 from gleaner.streaming import challenge
@@ -84,11 +86,50 @@ def test_cluster_stream_equals_batch(spark, tmp_path):
     base = " ".join(f"word{k}" for k in range(120))
     texts = [base, base + " tail", "quite another text " + " ".join(f"x{k}" for k in range(90)), base.replace("word7 ", "seven ")]
     rows = [(k, "r", f"a{k}", k * 600, t) for k, t in enumerate(texts)]
-    s = S.signed(spark.createDataFrame(rows, "id long, repo string, author string, secs long, t string").withColumn("d", F.concat(F.lit("+"), "t")), F.col("d"), F.col("t")).select("repo", "id", "author", "secs", "sim", "mins")
+    s = S.signed(spark.createDataFrame(rows, "id long, repo string, author string, secs long, t string").withColumn("d", F.concat(F.lit("+"), "t")), F.col("d"), F.col("t")).select("repo", "id", "author", "secs", "sim", "mins").withColumns({k: F.lit(1.0) for k in clusters.STYLE})
     path = str(tmp_path / "arrivals")
     s.coalesce(1).write.parquet(path)
     _run(stream_clusters.clusters(spark.readStream.schema(s.schema).parquet(path)), "clustered")
     got = {r["id"]: (r["size"], r["distinct_authors"], r["in_window"]) for r in spark.table("clustered").collect()}
-    m = s.withColumns({k: F.lit(1.0) for k in clusters.STYLE})
+    m = s
     want = {r["id"]: (r["size"], r["distinct_authors"], r["in_window"]) for r in clusters.views_at_arrival(m, S.edges(s)).collect()}
     assert got == want == {0: (1, 1, 1), 1: (2, 2, 2), 2: (1, 1, 1), 3: (3, 3, 3)}
+
+
+def test_scored_stream_equals_batch(spark, tmp_path):
+    """Views, scores and tiers of each arrival over several micro-batches, with lapsed members, a request that comes again and new weights."""
+    base, other = " ".join(f"word{k}" for k in range(120)), " ".join(f"x{k}" for k in range(90))
+    day = 86400
+    rows = [(0, "r", "a", 0, base), (1, "r", "b", 600, base + " tail"), (2, "q", "c", 700, base), (3, "r", "c", 800, other), (4, "r", "a", 7 * day, base.replace("word7 ", "seven ")), (5, "r", "d", 15 * day, base + " end"), (6, "r", "e", 40 * day, base), (7, "r", "e", 40 * day + 60, base)]
+    d = spark.createDataFrame(rows, "id long, repo string, author string, secs long, t string")
+    style = {k: (F.col("id") % (j + 2) + 1).cast("double") for j, k in enumerate(clusters.STYLE)}
+    s = S.signed(d.withColumn("d", F.concat(F.lit("+"), "t")), F.col("d"), F.col("t")).withColumns(style)
+    s = s.withColumn("fires", F.array(F.struct(F.lit("DOCS_ONLY").alias("rule"), (F.col("id") / 10).alias("value")))).drop("t", "d")
+    path = tmp_path / "arrivals"
+    data = s.orderBy("secs").toArrow()
+    for k in range(0, 8, 2):
+        path.mkdir(exist_ok=True)
+        pq.write_table(data.slice(k, 2), path / f"{k}.parquet")
+        os.utime(path / f"{k}.parquet", (1_700_000_000 + k, 1_700_000_000 + k))
+    weights = [engine.Weights(-1.0, {"DOCS_ONLY": 1.0, "CLUSTER_SIZE_LOG": 2.0, "CLUSTER_BURST": 3.0}), engine.Weights(0.5, {"CLUSTER_STYLE_COHESION": 1.0})]
+    got, asked = {}, []
+
+    def current():
+        asked.append(1)
+        return weights[len(asked) > 2]
+
+    arrivals = spark.readStream.schema(s.schema).option("maxFilesPerTrigger", 1).parquet(str(path))
+    q = stream_clusters.verdicts(arrivals, current, lambda df, k: got.update({r["id"]: r for r in df.collect()})).trigger(availableNow=True).start()
+    q.awaitTermination(200)
+    q.stop()
+    assert len(asked) == 4 and len(got) == 8
+    e = S.edges(s.select("id", "sim", "mins", "repo"), scope="repo")
+    v = clusters.views_at_arrival(s, e, clusters.TTL_SECS).withColumn("burst", clusters.burst_score()(F.col("in_window")))
+    v = rules.fires(v, rules.cluster_rules(), "more").join(s.select("id", "fires"), "id").withColumn("fires", F.concat("fires", "more"))
+    for k, w in enumerate(weights):
+        for r in engine.planned(engine.score(v, w)).collect():
+            if (r["id"] >= 4) == bool(k):
+                g = got[r["id"]]
+                assert (g["size"], g["distinct_authors"], g["in_window"], g["tier"], g["action"]) == (r["size"], r["distinct_authors"], r["in_window"], r["tier"], r["action"]), r["id"]
+                assert abs(g["score"] - r["score"]) < 1e-9
+    assert [got[i]["size"] for i in range(8)] == [1, 2, 1, 1, 3, 2, 1, 2]
