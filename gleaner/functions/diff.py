@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from gleaner.functions import lexicons as L
+from gleaner.functions.hashing import fnv1a64, hash60
 from gleaner.functions.text import blank, contains_any, let, lines, literal, tokens
 
 _COMMENT = "^(?:" + "|".join(literal(p) for p in L.COMMENT_PREFIXES) + ")"
@@ -74,3 +75,8 @@ def generic_ident(ls: Column) -> Column:
 def pathset(paths: Column) -> Column:
     """The paths in order, joined: what the path-set hash is taken of."""
     return F.array_join(F.array_sort(paths), "\u001f")
+
+
+def pathset_hash(paths: Column, exact: bool = False) -> Column:
+    """The hash of a set of paths in any order: the portable 60 bits, or 64-bit FNV-1a."""
+    return fnv1a64(pathset(paths)) if exact else hash60(pathset(paths))

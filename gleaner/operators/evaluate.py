@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gleaner.functions.hashing import fnv1a64, fold
+from gleaner.schemas import DOSSIER_JSON
 
 
 def author_fold(author: Column, folds: int = 5) -> Column:
@@ -88,10 +91,65 @@ def first_timer_baseline(first: Column) -> Column:
     return F.when(first, 0.9).otherwise(0.1)
 
 
-def release(records: DataFrame) -> DataFrame:
-    """Mined records without the columns that give the outcome away, and with the magnitude of the stars instead of their number."""
-    gone = [c for c in ("label", "source", "author_association", "merged", "state", "pr_labels", "author_id", "repo_stars") if c in records.columns]
-    stars = {"repo_stars_magnitude": F.floor(F.log10(F.greatest("repo_stars", F.lit(1)))).cast("int")} if "repo_stars" in records.columns else {}
-    return records.withColumns({"id": F.concat_ws("#", "repo", F.col("number").cast("string")), **stars}).drop(*gone)
+def required(test: DataFrame, predictions: DataFrame, key: str = "id") -> DataFrame:
+    """test with its predictions; a ValueError names some of those without one, so nothing is evaluated in part."""
+    lost = [r[0] for r in missing(test.select(key), predictions, key).head(5)]
+    if lost:
+        raise ValueError(f"test rows without a prediction, such as {lost}")
+    return test.join(predictions, key)
+
+
+def first_seen(df: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """One row for each key, the one that came first: records that several mining runs found."""
+    rest = [c for c in df.columns if c not in keys]
+    return df.groupBy(*keys).agg(F.min_by(F.struct(*rest), order).alias("_first")).select(*keys, "_first.*").select(*df.columns)
+
 
+OUTCOMES = ("label", "source", "state", "merged", "pr_labels", "repo_stars", "audit", "kind", "author_association")
+#: sources of ordinary requests that look like generated ones: without them a corpus rewards shortcuts
+ANTI_SHORTCUT = ("agent-merged", "ai-topic-merged")
 
+
+def release(records: DataFrame) -> DataFrame:
+    """Mined records without the columns that give the outcome away.
+
+    Instead of the stars there is their magnitude, and instead of the association with the
+    repository what the author's public history (dossier, JSON) showed before the
+    request: first_pr_to_repo, prior_prs_visible, prior_prs_this_repo and
+    prior_merged_this_repo.  The dossier loses what came later, and of requests to the same
+repository the state, the labels and whether they were merged.
+    """
+    d = records.withColumn("id", F.concat_ws("#", "repo", F.col("number").cast("string")))
+    if "repo_stars" in d.columns:
+        d = d.withColumn("repo_stars_magnitude", F.floor(F.log10(F.greatest(F.coalesce("repo_stars", F.lit(0)), F.lit(1)))).cast("int"))
+    if {"dossier", "created_at"} <= set(d.columns):
+        d = d.withColumn("_d", F.from_json("dossier", DOSSIER_JSON))
+        nodes = F.coalesce(F.col("_d.data.user.pullRequests.nodes"), F.array())
+        # times are ISO text, which orders as they do; without one there is no before
+        before = F.filter(nodes, lambda n: F.coalesce((F.col("created_at") != "") & (n["createdAt"] != "") & (n["createdAt"] < F.col("created_at")), F.lit(False)))
+        d = d.withColumn("_before", before)
+        here = F.filter("_before", lambda n: F.coalesce(F.lower(n["repository"]["nameWithOwner"]) == F.lower("repo"), F.lit(False)))
+        d = d.withColumns({"_here": here}).withColumns(
+            {
+                "first_pr_to_repo": F.size("_here") == 0,
+                "prior_prs_visible": F.size("_before").cast("long"),
+                "prior_prs_this_repo": F.size("_here").cast("long"),
+                "prior_merged_this_repo": F.size(F.filter("_here", lambda n: F.coalesce(n["merged"], F.lit(False)))).cast("long"),
+            }
+        )
+        late = lambda n: F.coalesce((F.col("created_at") != "") & (n["createdAt"] != "") & (n["createdAt"] >= F.col("created_at")), F.lit(False))
+        same = lambda n: F.coalesce(F.lower(n["repository"]["nameWithOwner"]) == F.lower("repo"), F.lit(False))
+        told = ("labels", "merged", "state")
+        kept = F.transform(F.filter(nodes, lambda n: ~late(n)), lambda n: reduce(lambda x, k: x.withField(k, F.when(~same(n), n[k])), told, n))
+        user = F.col("_d.data.user").withField("pullRequests", F.struct(kept.alias("nodes")))
+        d = d.withColumn("dossier", F.when(F.col("_d.data.user").isNotNull(), F.to_json(F.struct(F.struct(user.alias("user")).alias("data"))))).drop("_d", "_before", "_here")
+    return d.drop(*OUTCOMES)
+
+
+def released_labels(records: DataFrame) -> DataFrame:
+    """(id, label, source, author, kind); a ValueError if a source against shortcuts has no ordinary request."""
+    d = records.select(F.concat_ws("#", "repo", F.col("number").cast("string")).alias("id"), "label", F.coalesce("source", F.lit("")).alias("source"), "author", F.coalesce("kind", F.lit("")).alias("kind") if "kind" in records.columns else F.lit("").alias("kind"))
+    have = {r[0] for r in d.filter((F.col("label") == "ham") & F.col("source").isin(*ANTI_SHORTCUT)).select("source").distinct().collect()}
+    if lost := [x for x in ANTI_SHORTCUT if x not in have]:
+        raise ValueError(f"no ordinary requests of {lost}: not released")
+    return d

@@ -71,6 +71,17 @@ def thresholds_at_fpr(df: DataFrame, score: str, positive: Column, targets: Sequ
     return t.select("target").join(found, "target", "left").select("target", F.coalesce("threshold", F.lit(1.0)).alias("threshold"))
 
 
+def observed_fpr(df: DataFrame, score: str, positive: Column, threshold: float) -> DataFrame:
+    """(fpr): the share of negatives at or over a threshold; 0 without negatives."""
+    return df.filter(~positive).agg(F.coalesce(F.avg((F.col(score) >= threshold).cast("double")), F.lit(0.0)).alias("fpr"))
+
+
+def ranked_rules(weights: DataFrame, top: int = 20) -> DataFrame:
+    """(rule, weight, rank) of the rules with the greatest weights; ties by name."""
+    t = weights.orderBy(F.abs("weight").desc(), "rule").limit(top)
+    return t.agg(F.array_sort(F.collect_list(F.struct((-F.abs("weight")).alias("o"), "rule", "weight"))).alias("l")).select(F.posexplode("l")).select("col.rule", "col.weight", (F.col("pos") + 1).alias("rank"))
+
+
 def recall_at(df: DataFrame, score: str, threshold: float, *keys: str) -> DataFrame:
     """(keys, n, caught, recall) of the rows (all positive, or one class) over a threshold."""
     hit = F.col(score) >= threshold

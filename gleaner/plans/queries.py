@@ -13,7 +13,7 @@ from gleaner.functions import lexicons as L
 from gleaner.functions import text as X
 from gleaner.operators import clusters, engine, evaluate, federation, history, learn, rules
 from gleaner.operators import signatures as S
-from gleaner.plans.records import WEIGHTS, fired, fires_sql, records
+from gleaner.plans.records import WEIGHTS, columns, fired, fires_sql, records
 from gleaner.plans.views import REQUESTS, requests, table
 from gleaner.session import spread, written
 from gleaner.sources import events as E
@@ -378,6 +378,36 @@ def recall_by_source(spark, d):
     return learn.recall_at(_priced(spark, d).filter("p"), "s", 0.25, "l_linestatus").withColumn("recall", F.round("recall", 6))
 
 
+@query(f"WITH {_SCORED} SELECT round(avg((s >= 0.25)::INTEGER), 9) AS fpr FROM s WHERE NOT p")
+def observed_fpr(spark, d):
+    return learn.observed_fpr(_priced(spark, d), "s", F.col("p"), 0.25).select(F.round("fpr", 9).alias("fpr"))
+
+
+@query(f"WITH w AS (SELECT unnest([{', '.join(f"'{k}'" for k in WEIGHTS.rules)}]) AS rule, unnest([{', '.join(map(str, WEIGHTS.rules.values()))}])::DOUBLE AS weight) SELECT rule, weight, (row_number() OVER (ORDER BY abs(weight) DESC, rule))::INTEGER AS rank FROM w ORDER BY rank LIMIT 20")
+def ranked_rules(spark, d):
+    return learn.ranked_rules(spark.createDataFrame(sorted(WEIGHTS.rules.items()), "rule string, weight double"))
+
+
+@query("SELECT o_custkey, o_orderpriority, min(o_orderkey) AS o_orderkey, arg_min(o_totalprice, o_orderkey) AS o_totalprice FROM orders GROUP BY 1, 2")
+def first_seen(spark, d):
+    return evaluate.first_seen(table(spark, d, "orders").select("o_custkey", "o_orderpriority", "o_orderkey", "o_totalprice"), ["o_custkey", "o_orderpriority"], "o_orderkey")
+
+
+@query(f"WITH req AS (SELECT {', '.join(columns(False))} FROM documents) SELECT doc_id, {_H60("array_to_string(list_sort(paths), chr(31))")} AS hash FROM req")
+def pathset_hash(spark, d):
+    return records(spark, d).select("doc_id", D.pathset_hash(F.reverse("paths")).alias("hash"))
+
+
+_GROUNDED = "doc_id % 29 = 9 AND doc_id % 23 NOT IN (3, 4, 6)"
+
+
+@query(f"SELECT doc_id, doc_id % 8 = 3 AS mostly_unauthored, doc_id % 8 = 0 AS protected, CASE WHEN {_GROUNDED} THEN true ELSE false END AS grounding_miss, CASE WHEN a >= 200 AND pace >= 500 THEN round(least(ln(pace) / ln(4000), 1), 6) END AS rate FROM (SELECT *, additions AS a, additions / greatest(doc_id % 50 * 60 / 3600.0, 1 / 60.0) AS pace FROM (SELECT {', '.join(columns(False))} FROM documents))")
+def record_measures(spark, d):
+    r = records(spark, d)
+    miss = X.grounding_miss(F.col("body"), F.col("diff"), F.col("paths"))
+    return r.select("doc_id", X.mostly_unauthored(F.col("paths")).alias("mostly_unauthored"), F.exists("paths", lambda p: X.path_matches(p, L.PROTECTED_PATHS)).alias("protected"), miss.alias("grounding_miss"), F.round(X.authoring_rate(F.col("commit_times"), F.col("additions")), 6).alias("rate"))
+
+
 _FNV = lambda x: f"list_reduce(list_concat([14695981039346656037::HUGEINT], list_transform(range(1, length({x}) + 1), lambda i: ascii(substr({x}, i, 1))::HUGEINT)), lambda h, b: (xor(h, b) * 1099511628211::HUGEINT) % 18446744073709551616::HUGEINT)"
 
 

@@ -179,6 +179,21 @@ def test_evaluation_helpers(spark):
         evaluate.last_prediction(p.withColumn("score", F.lit(1.5)), "n").collect()
     rec = spark.createDataFrame([("a/b", 1, "slop", 1500, True)], "repo string, number long, label string, repo_stars long, merged boolean")
     assert evaluate.release(rec).collect()[0].asDict() == {"repo": "a/b", "number": 1, "id": "a/b#1", "repo_stars_magnitude": 3}
+    node = lambda at, repo, merged: {"createdAt": at, "merged": merged, "repository": {"nameWithOwner": repo}}
+    dossier = json.dumps({"data": {"user": {"createdAt": "2019", "pullRequests": {"nodes": [node("2024-01-01T00:00:00Z", "A/b", True), node("2024-02-01T00:00:00Z", "c/d", True), node("2024-04-01T00:00:00Z", "a/b", True), node(None, "a/b", False)]}}}})
+    rec = spark.createDataFrame([("a/b", 1, "slop", "x", "ann", "2024-03-01T00:00:00Z", dossier, "ai", "NONE"), ("a/b", 2, "ham", "agent-merged", "bob", None, None, None, "MEMBER")], "repo string, number long, label string, source string, author string, created_at string, dossier string, kind string, author_association string")
+    a, b = evaluate.release(rec).orderBy("number").collect()
+    assert not {"label", "kind", "author_association", "source"} & set(a.asDict())
+    assert (a["first_pr_to_repo"], a["prior_prs_visible"], a["prior_prs_this_repo"], a["prior_merged_this_repo"]) == (False, 2, 1, 1) 
+    left = json.loads(a["dossier"])["data"]["user"]["pullRequests"]["nodes"]
+    assert [n["repository"]["nameWithOwner"] for n in left] == ["A/b", "c/d", "a/b"] and [n.get("merged") for n in left] == [None, True, None]
+    assert (b["first_pr_to_repo"], b["prior_prs_visible"], b["dossier"]) == (True, 0, None)
+    with pytest.raises(ValueError, match="ai-topic-merged"):
+        evaluate.released_labels(rec)
+    ids = spark.createDataFrame([("x",), ("y",)], "id string")
+    with pytest.raises(ValueError, match="y"):
+        evaluate.required(ids, ids.filter("id = 'x'").withColumn("score", F.lit(0.5)))
+    assert evaluate.required(ids, ids.withColumn("score", F.lit(0.5))).count() == 2
     t = spark.createDataFrame([("a",), ("b",)], "repo string")
     assert [r[0] for r in evaluate.repo_disjoint(t, t.filter("repo = 'a'")).collect()] == ["b"]
 
