@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+try:
+    from _md5 import md5  # for short texts faster than OpenSSL's
+except ImportError:
+    from hashlib import md5
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+P31 = (1 << 31) - 1
 _PRIME, _OFFSET = np.uint64(0x100000001B3), np.uint64(0xCBF29CE484222325)
 
 
@@ -16,6 +22,18 @@ def hash60(col: Column) -> Column:
     return F.conv(F.substring(F.md5(col), 1, 15), 16, 10).cast("long")
 
 
+def md5_60(values: list[bytes]) -> np.ndarray:
+    """hash60 of each."""
+    return np.frombuffer(b"".join([md5(v).digest() for v in values]), ">u8")[::2].astype(np.uint64) >> np.uint64(4)
+
+
+def mod_p31(x: np.ndarray) -> np.ndarray:
+    """x mod 2^31-1 for 0 <= x < 2^63, in shifts: division of 64-bit numbers is slow."""
+    x = (x & P31) + (x >> 31)
+    x = (x & P31) + (x >> 31)
+    return np.where(x >= P31, x - P31, x)
+
+
 def fnv(values: list[bytes]) -> np.ndarray:
     """FNV-1a of each, a byte position at a time over all of them."""
     n = np.array([len(v) for v in values], np.int64)

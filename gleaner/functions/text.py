@@ -69,6 +69,11 @@ def tokens(col: Column) -> Column:
     return F.transform(F.regexp_extract_all(col, F.lit(r"[\p{IsAlphabetic}\p{N}]+"), F.lit(0)), F.lower)
 
 
+def joined_tokens(col: Column) -> Column:
+    """The tokens as one string, joined by U+001F: what lies between them is replaced, no array is made."""
+    return F.lower(F.btrim(F.regexp_replace(col, r"[^\p{IsAlphabetic}\p{N}]+", "\u001f"), F.lit("\u001f")))
+
+
 def shingles(toks: Column, n: int) -> Column:
     """Every n tokens in a row, joined by U+001F; none for fewer tokens."""
 
