@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import itertools
 import re
 from collections.abc import Sequence
 from functools import reduce
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -130,11 +132,31 @@ def style_rows(texts: list[str]) -> dict[str, np.ndarray]:
     }
 
 
-@F.pandas_udf(T.StructType([T.StructField(k, T.DoubleType()) for k in STYLE]))
-def style_values(texts: pd.Series) -> pd.DataFrame:
-    ok = texts.notna().to_numpy()
-    made = pd.DataFrame(style_rows(texts[ok].tolist()), columns=list(STYLE))
-    return made.set_axis(np.flatnonzero(ok)).reindex(range(len(texts)))
+#: characters that style_rows has at once, or one longer text
+AT_ONCE = 1 << 20
+
+
+def _runs(size: np.ndarray) -> list[int]:
+    """Where runs of at most AT_ONCE characters begin, and the end."""
+    out, room = [0], AT_ONCE
+    for k, n in enumerate(size.tolist()):
+        if n > room and k > out[-1]:
+            out.append(k)
+            room = AT_ONCE
+        room -= n
+    return [*out, len(size)]
+
+
+@F.arrow_udf(T.StructType([T.StructField(k, T.DoubleType()) for k in STYLE]))
+def style_values(texts: pa.Array) -> pa.Array:
+    ok = texts.drop_null()
+    cut = _runs(pc.utf8_length(ok).to_numpy(zero_copy_only=False))
+    parts = [style_rows(ok.slice(i, j - i).to_pylist()) for i, j in itertools.pairwise(cut)]
+    made = pa.StructArray.from_arrays([pa.array(np.concatenate([p[k] for p in parts]), pa.float64()) for k in STYLE], list(STYLE))
+    if not texts.null_count:
+        return made
+    has = texts.is_valid().to_numpy(zero_copy_only=False)
+    return made.take(pa.array(np.cumsum(has) - 1, pa.int64(), mask=~has))
 
 
 def style(col: Column) -> dict[str, Column]:

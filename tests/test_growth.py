@@ -1,8 +1,10 @@
 """Steps whose work or memory must not grow faster than the input."""
 
 import hashlib
+import itertools
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from gleaner.functions import hashing as H
@@ -18,3 +20,16 @@ def test_signatures_take_tokens_as_one_string(spark):
     x = np.array([0, 1, S.P31 - 1, S.P31, S.P31 + 1, (1 << 62) + (1 << 31), 2 * S.P31, (1 << 63) - 1])
     assert H.mod_p31(x).tolist() == [int(v) % S.P31 for v in x]
     assert H.md5_60([b"x"]).tolist() == [int(hashlib.md5(b"x").hexdigest()[:15], 16)]
+
+
+def test_style_kernel_holds_bounded_text(monkeypatch):
+    most, rows = [], X.style_rows
+    monkeypatch.setattr(X, "AT_ONCE", 100)
+    monkeypatch.setattr(X, "style_rows", lambda t: most.append(sum(map(len, t))) or rows(t))
+    texts = ["", None, "a. b — c! " * 4, None, "x" * 250, "- one\n# two", None, *["word " * 9] * 20]
+    got = X.style_values.func(pa.array(texts, pa.string())).to_pylist()
+    want = rows([t for t in texts if t is not None])
+    assert sorted(most)[-1] == 250 and sorted(most)[-2] <= 100
+    at = itertools.count()
+    assert [g for g in got] == [None if t is None else {k: float(v[i]) for k, v in want.items()} for t in texts for i in [next(at) if t is not None else None]]
+    assert X.style_values.func(pa.array([None, None], pa.string())).to_pylist() == [None, None] and len(X.style_values.func(pa.array([], pa.string()))) == 0
