@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import heapq
 import math
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -102,32 +105,92 @@ def arrivals_in_window(df: DataFrame, keys: list[str], secs: str, window: int =
 VIEW = "id long, cluster long, size long, distinct_repos long, distinct_authors long, in_window long, style_cohesion double"
 
 
-def _replay(ttl: int | None):
+@dataclass
+class _View:
+    """A cluster as of its last arrival."""
+
+    place: int
+    first: int
+    size: int
+    repos: set
+    authors: set
+    recent: list
+    style: np.ndarray
+    unit: np.ndarray
+
+    def joined(self, o: _View) -> _View:
+        """This one with all of o; of sets and heaps the smaller goes into the larger."""
+        if o.place < self.place:
+            self.place, self.first = o.place, o.first
+        self.size += o.size
+        for name in ("repos", "authors"):
+            few, many = sorted((getattr(self, name), getattr(o, name)), key=len)
+            many |= few
+            setattr(self, name, many)
+        few, self.recent = sorted((self.recent, o.recent), key=len)
+        for at in few:
+            heapq.heappush(self.recent, at)
+        self.style += o.style
+        self.unit += o.unit
+        return self
+
+
+def _top(root: dict, j):
+    top = j
+    while root[top] != top:
+        top = root[top]
+    while root[j] != top:
+        root[j], j = top, root[j]
+    return top
+
+
+def _grown(batches):
+    """Views without a time-to-live, of rows by cluster and arrival.
+
+    Clusters only grow then, so each is kept as sums, sets and the arrivals of the last
+    window: the mean cosine is the sum of the unit styles times the mean's direction.
+    """
+    comp, root, views = None, {}, {}
+    for batch in batches:
+        style = np.column_stack([batch[k].to_numpy(zero_copy_only=False).astype(float) for k in STYLE])
+        norm = np.sqrt((style**2).sum(1, keepdims=True))
+        unit = np.divide(style, norm, out=np.zeros_like(style), where=norm > 0)
+        out = []
+        for r, (c, i, at, repo, author, near) in enumerate(zip(*[batch[k].to_pylist() for k in ("cluster", "id", "secs", "repo", "author", "near")], strict=True)):
+            if c != comp:
+                comp, root, views, place = c, {}, {}, 0
+            root[i] = i
+            views[i] = v = _View(place, i, 1, {repo} - {None}, {author} - {None}, [at], style[r].copy(), unit[r].copy())
+            place += 1
+            for j in near:
+                # earlier clusters that the arrival touches become one
+                if j in root and (x := _top(root, j)) != (y := _top(root, i)):
+                    x, y = (x, y) if views[x].size >= views[y].size else (y, x)
+                    root[y] = x
+                    v = views[x].joined(views.pop(y))
+            while v.recent[0] < at - WINDOW_SECS:
+                heapq.heappop(v.recent)
+            length = math.sqrt(v.style @ v.style)
+            out.append((i, v.first, v.size, len(v.repos), len(v.authors), len(v.recent), float(v.unit @ v.style) / (length * v.size) if length > 0 else 0.0))
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*out, strict=True)], names=[x.split()[0] for x in VIEW.split(", ")])
+
+
+def _replay(ttl: int):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["secs", "id"], kind="stable").reset_index(drop=True)
         place = {i: k for k, i in enumerate(pdf["id"])}
         near = [[place[j] for j in l if j in place] for l in pdf["near"]]
         style, secs = pdf[list(STYLE)].to_numpy(float), pdf["secs"].to_numpy()
-        out, root, members = [], {}, {}
+        out = []
         for k in range(len(pdf)):
-            if ttl is None:
-                # earlier clusters that the arrival touches become one
-                touched = {root[j] for j in near[k] if j < k}
-                name = min([*touched, k])
-                group = [k]
-                for r in touched:
-                    group += members.pop(r)
-                for j in group:
-                    root[j] = name
-                members[name] = group
-            else:
-                live = secs[k] - ttl
-                group, seen = [k], {k}
-                for a in group:
-                    for j in near[a]:
-                        if j < k and j not in seen and secs[j] >= live:
-                            seen.add(j)
-                            group.append(j)
+            live = secs[k] - ttl
+            group, seen = [k], {k}
+            for a in group:
+                for j in near[a]:
+                    if j < k and j not in seen and secs[j] >= live:
+                        seen.add(j)
+                        group.append(j)
             g = np.array(group)
             mean = style[g].mean(0)
             norm = np.sqrt((style[g] ** 2).sum(1)) * np.sqrt((mean**2).sum())
@@ -143,7 +206,8 @@ def views_at_arrival(members: DataFrame, edges: DataFrame, ttl: int | None = Non
     """Each row's cluster as it was when the row came: only earlier rows count, and with ttl only those that young.
 
     members: (id, secs, repo, author, the style columns).  What a row can reach lies
-    in its final component, so components are replayed apart from each other.
+    in its final component, so components are replayed apart from each other.  Without
+    ttl, edges may be those of signatures.edges(stars=True) if rows come by id.
     """
     e = written(edges)
     comp = components(e)
@@ -155,4 +219,7 @@ def views_at_arrival(members: DataFrame, edges: DataFrame, ttl: int | None = Non
         "id", F.col("id").alias("cluster"), F.lit(1).cast("long").alias("size"), F.lit(1).cast("long").alias("distinct_repos"), F.lit(1).cast("long").alias("distinct_authors"), F.lit(1).cast("long").alias("in_window"),
         F.when(F.greatest(*[F.abs(F.col(k)) for k in STYLE]) > 0, 1.0).otherwise(0.0).alias("style_cohesion"),
     )
-    return m.filter("cluster is not null").groupBy("cluster").applyInPandas(_replay(ttl), VIEW).unionByName(alone)
+    m = m.filter("cluster is not null")
+    if ttl is None:
+        return m.repartition("cluster").sortWithinPartitions("cluster", "secs", "id").mapInArrow(_grown, VIEW).unionByName(alone)
+    return m.groupBy("cluster").applyInPandas(_replay(ttl), VIEW).unionByName(alone)

@@ -2,6 +2,7 @@
 
 import hashlib
 import itertools
+import time
 
 import numpy as np
 import pyarrow as pa
@@ -9,9 +10,61 @@ from pyspark.sql import functions as F
 
 from gleaner.functions import hashing as H
 from gleaner.functions import text as X
+from gleaner.operators import clusters
 from gleaner.operators import signatures as S
 
 
+def _views(rows, edges):
+    """The definition: the component of each row among the rows up to it, walked anew for each."""
+    near = {}
+    for a, b in edges:
+        near.setdefault(a, set()).add(b)
+        near.setdefault(b, set()).add(a)
+    rows = sorted(rows, key=lambda r: (r[1], r[0]))
+    place, out = {r[0]: k for k, r in enumerate(rows)}, {}
+    for k, (i, secs, *_) in enumerate(rows):
+        group = [i]
+        for x in group:
+            group += [y for y in near.get(x, ()) if place[y] < k and y not in group]
+        g = [rows[place[x]] for x in group]
+        style = np.array([r[4:] for r in g])
+        mean = style.mean(0)
+        norm = np.sqrt((style**2).sum(1)) * np.sqrt((mean**2).sum())
+        cos = np.divide(style @ mean, norm, out=np.zeros(len(g)), where=norm > 0)
+        out[i] = (rows[min(place[x] for x in group)][0], len(g), len({r[2] for r in g} - {None}), len({r[3] for r in g} - {None}), sum(secs - r[1] <= clusters.WINDOW_SECS for r in g), round(float(cos.mean()), 9))
+    return out
+
+
+def test_views_equal_the_definition(spark):
+    rng = np.random.default_rng(5)
+    ids = rng.permutation(120).tolist()
+    rows = [(i, int(rng.integers(0, 9)) * 7200, None if i % 17 == 0 else f"r{i % 3}", f"a{i % 7}", *([0.0] * 7 if i % 11 == 0 else rng.random(7).tolist())) for i in ids]
+    edges = sorted({(min(a, b), max(a, b)) for a, b in rng.integers(0, 120, (130, 2)).tolist() if a != b})
+    m = spark.createDataFrame(rows, "id long, secs long, repo string, author string, " + ", ".join(f"{k} double" for k in X.STYLE))
+    got = {r["id"]: (r["cluster"], r["size"], r["distinct_repos"], r["distinct_authors"], r["in_window"], round(r["style_cohesion"], 9)) for r in clusters.views_at_arrival(m, spark.createDataFrame(edges, "a long, b long")).collect()}
+    want = _views(rows, edges)
+    assert {i: v for i, v in want.items() if v[1] > 1} == {i: v for i, v in got.items() if v[1] > 1} and got.keys() == want.keys()
+
+
+def test_copies_as_stars_give_the_same_views(spark):
+    text = [f"alpha beta gamma delta epsilon zeta eta theta {w} iota kappa lambda mu nu xi omicron pi rho sigma tau" for w in ("one", "two", "three")]
+    rows = [(i, i * 180, f"r{i % 2}", f"a{i % 5}", text[i % 3] if i % 4 else text[0], *[float(i % 3)] * 7) for i in range(40)]
+    d = spark.createDataFrame(rows, "id long, secs long, repo string, author string, t string, " + ", ".join(f"{k} double" for k in X.STYLE))
+    s = S.signed(d, F.concat(F.lit("+"), "t"), F.col("t")).select("id", "sim", "mins")
+    stars, every = S.edges(s, stars=True), S.edges(s)
+    assert stars.count() < every.count()
+    views = [sorted(map(tuple, clusters.views_at_arrival(d, e).withColumn("style_cohesion", F.round("style_cohesion", 9)).collect())) for e in (stars, every)]
+    assert views[0] == views[1]
+
+
+def test_a_wave_is_replayed_in_time_linear_in_its_rows(spark):
+    n = 20_000
+    m = spark.range(n).select("id", (F.col("id") * 2).alias("secs"), F.lit("r").alias("repo"), F.col("id").cast("string").alias("author"), *[F.lit(0.5).alias(k) for k in X.STYLE])
+    began = time.time()
+    last = clusters.views_at_arrival(m, spark.range(1, n).select(F.lit(0).cast("long").alias("a"), F.col("id").alias("b"))).filter(F.col("id") == n - 1).first()
+    assert (last["size"], last["distinct_authors"], last["in_window"]) == (n, n, 10_801) and time.time() - began < 60
+
+
 def test_one_hot_band_makes_no_rows_of_candidates(spark):
     # 9,000 simhashes in one key, over more than one block; near ones are those of the definition
     rng = np.random.default_rng(3)
