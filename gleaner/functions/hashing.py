@@ -28,10 +28,14 @@ def md5_60(values: list[bytes]) -> np.ndarray:
 
 
 def mod_p31(x: np.ndarray) -> np.ndarray:
-    """x mod 2^31-1 for 0 <= x < 2^63, in shifts: division of 64-bit numbers is slow."""
-    x = (x & P31) + (x >> 31)
-    x = (x & P31) + (x >> 31)
-    return np.where(x >= P31, x - P31, x)
+    """x mod 2^31-1 for x < 2^63, in shifts and in x's own place if it is unsigned: division of 64-bit numbers is slow."""
+    x, p = x.astype(np.uint64, copy=False), np.uint64(P31)
+    for _ in range(2):
+        high = x >> np.uint64(31)
+        x &= p
+        x += high
+    # what is less than p wraps to a great number
+    return np.minimum(x, x - p, out=x)
 
 
 def fnv(values: list[bytes]) -> np.ndarray:
