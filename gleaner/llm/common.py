@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 
 #: rows of a few numbers each; a side with more is never broadcast
 BROADCAST_ROWS = 1_000_000
+#: of rows that go to Python at once; Spark's own bounds are 10,000 rows and 64 MB
+BATCH_BYTES = 1 << 22
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -49,6 +52,18 @@ def discard(df: DataFrame) -> None:
     folder.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(folder, True)
 
 
+def in_steps(df: DataFrame) -> DataFrame:
+    """df, for mapInArrow over texts: its session makes Arrow batches of about BATCH_BYTES from now on, or less if it did so before.
+
+    Each task holds several copies of a batch outside the heap (being filled, sent, read by Python, sent back).
+    The setting is read when a plan runs, after the caller returned it, so it stays; it changes no rows.
+    """
+    spark = df.sparkSession
+    if not 0 < spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(_BATCH)) <= BATCH_BYTES:
+        spark.conf.set(_BATCH, str(BATCH_BYTES))
+    return df
+
+
 def packed(df: DataFrame, *names: str) -> Column:
     """All columns of df (or those named) as one struct: names inside can't clash with an operator's own."""
     return F.struct(*[F.col(f"`{c}`") for c in names or df.columns])

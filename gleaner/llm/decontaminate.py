@@ -36,6 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gleaner.llm import kernel as K
+from gleaner.llm.common import in_steps
 
 STRIDE, SAMPLED, MAX_EDITS = 4, 10, 0.1
 #: (steps of the walk, bytes that an item window must have at least)
@@ -250,14 +251,14 @@ def leaks(docs: DataFrame, benchmark: DataFrame, pass_bytes: int = PASS_BYTES) -
             index = held.value
             for batch in batches:
                 ids = batch.column(0)
-                for at, part in K.chunks(batch.column(1)):
+                for at, part in K.chunks(batch.column(1), K.STEP_BYTES):
                     if x := index.leaks(part):
                         r, i, d = zip(*x)
                         yield pa.RecordBatch.from_arrays(
                             [ids.take(pa.array(np.array(r) + at)), pa.array([index.ids[k] for k in i], pa.int64()), pa.array(d, pa.int32())], ["doc_id", "item_id", "edit_distance"]
                         )
 
-        part = docs.select(F.col("doc_id").cast("long").alias("d"), F.col("text").alias("t")).mapInArrow(run, "doc_id long, item_id long, edit_distance int")
+        part = in_steps(docs.select(F.col("doc_id").cast("long").alias("d"), F.col("text").alias("t"))).mapInArrow(run, "doc_id long, item_id long, edit_distance int")
         out = part if out is None else out.union(part)
     return out.groupBy("doc_id", "item_id").agg(F.min("edit_distance").alias("edit_distance"))
 
@@ -271,12 +272,12 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame, pass_bytes: int = PASS_
         def run(batches, held=held, where=where):
             for batch in batches:
                 keep = np.ones(batch.num_rows, bool)
-                for at, part in K.chunks(batch.column(where)):
+                for at, part in K.chunks(batch.column(where), K.STEP_BYTES):
                     for r, _, _ in held.value.leaks(part):
                         keep[at + r] = False
                 yield batch.filter(pa.array(keep))
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = in_steps(docs).mapInArrow(run, docs.schema)
     return docs
 
 

@@ -16,6 +16,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 CHUNK_BYTES = 1 << 21
+#: of text at once where many stages share a worker: some 16 times as much is held in arrays of tokens and hashes
+STEP_BYTES = 1 << 19
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 _INV = np.uint64(pow(int(_MULT), -1, 1 << 64))
 _BYTE = np.random.default_rng(20240601).integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
@@ -34,7 +36,7 @@ def _powers(kind: str, n: int) -> np.ndarray:
     have = _pow[kind]
     if len(have) < n:
         base = _MULT if kind == "up" else _INV
-        seq = np.full(max(n, CHUNK_BYTES + 4096), base, np.uint64)
+        seq = np.full(-(-n >> 16 << 16), base, np.uint64)
         seq[0] = 1
         have = _pow[kind] = np.cumprod(seq, dtype=np.uint64)
     return have[:n]

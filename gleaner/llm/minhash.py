@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gleaner.llm import kernel as K
-from gleaner.llm.common import components, fresh, small, written
+from gleaner.llm.common import components, fresh, in_steps, small, written
 
 PERMS, ROWS, BITS, SHINGLE, THRESHOLD = 160, 4, 4, 3, 0.5
 #: members of a candidate list that one task holds; one node in SHARE tells which bands have more
@@ -110,7 +110,7 @@ def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     def run(batches):
         for batch in batches:
-            for at, part in K.chunks(batch.column(2)):
+            for at, part in K.chunks(batch.column(2), K.STEP_BYTES):
                 rows, m = minima(part)
                 if not len(rows):
                     continue
@@ -131,7 +131,7 @@ def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                 )
 
     d = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("th"), F.col(text_col).alias("t"))
-    return d.mapInArrow(run, "id long, th long, sig binary, bands array<long>")
+    return in_steps(d).mapInArrow(run, "id long, th long, sig binary, bands array<long>")
 
 
 def _links(threshold: float):

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gleaner.llm import kernel as K
-from gleaner.llm.common import written
+from gleaner.llm.common import in_steps, written
 
 BUCKETS, FIT_ROWS, KEEP = 1 << 14, 20_000, 0.999
 _SHIFT = np.uint64(64 - 14)
@@ -61,7 +61,7 @@ def fit_rows(docs: DataFrame, labels: DataFrame, most: int = FIT_ROWS) -> DataFr
 def _count(batches):
     total = np.zeros(BUCKETS)
     for batch in batches:
-        for _, part in K.chunks(batch.column(0)):
+        for _, part in K.chunks(batch.column(0), K.STEP_BYTES):
             total += np.bincount(features(part)[0], minlength=BUCKETS)
     at = np.flatnonzero(total)
     yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at].astype(np.int64))], ["bucket", "n"])
@@ -70,7 +70,7 @@ def _count(batches):
 def counts(texts: DataFrame) -> np.ndarray:
     """n-gram counts of all rows: each task sends its buckets once, Spark adds them up."""
     out = np.zeros(BUCKETS)
-    for b, n in texts.mapInArrow(_count, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toLocalIterator():
+    for b, n in in_steps(texts).mapInArrow(_count, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toLocalIterator():
         out[b] = n
     return out
 
@@ -91,7 +91,7 @@ def _scorer(held, where_id: int, where_text: int, emit):
         for batch in batches:
             w, key = np.zeros(batch.num_rows), np.zeros(batch.num_rows)
             ids = _ids(batch.column(where_id))
-            for at, part in K.chunks(batch.column(where_text)):
+            for at, part in K.chunks(batch.column(where_text), K.STEP_BYTES):
                 f, row = features(part)
                 own = np.round(K.row_sums(ratio[f], row, len(part)), 6)
                 w[at : at + len(part)] = own
@@ -105,7 +105,7 @@ def scores(docs: DataFrame, ratio: np.ndarray) -> DataFrame:
     """(doc_id, log_weight, gumbel_key) of every row."""
     held = docs.sparkSession.sparkContext.broadcast(ratio)
     emit = lambda b, w, k: pa.RecordBatch.from_arrays([b.column(0), pa.array(w), pa.array(k)], ["doc_id", "log_weight", "gumbel_key"])
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text")).mapInArrow(_scorer(held, 0, 1, emit), "doc_id long, log_weight double, gumbel_key double")
+    return in_steps(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"))).mapInArrow(_scorer(held, 0, 1, emit), "doc_id long, log_weight double, gumbel_key double")
 
 
 def kth_greatest(df: DataFrame, col: str, k: int) -> float:
@@ -156,4 +156,4 @@ def resample(docs: DataFrame, labels: DataFrame) -> DataFrame:
     ratio, least, _ = threshold(docs, labels)
     held = docs.sparkSession.sparkContext.broadcast(ratio)
     emit = lambda b, w, k: b.filter(pa.array(k >= least))
-    return docs.mapInArrow(_scorer(held, docs.columns.index("doc_id"), docs.columns.index("text"), emit), docs.schema)
+    return in_steps(docs).mapInArrow(_scorer(held, docs.columns.index("doc_id"), docs.columns.index("text"), emit), docs.schema)

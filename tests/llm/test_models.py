@@ -2,13 +2,14 @@
 
 import math
 import random
+import tracemalloc
 from collections import Counter
 
 import numpy as np
 import pyarrow as pa
 import zstandard as zs
 
-from gleaner.llm import ann, kernel, quality, secrets, toxicity
+from gleaner.llm import ann, common, decontaminate, kernel, minhash, quality, secrets, toxicity
 
 from .conftest import rows, words
 
@@ -249,3 +250,41 @@ def test_planted_secrets_are_found_and_words_are_not(spark, frame):
     hit = [x for x in got if x["is_secret"]]
     true = sum(where.get(x["doc_id"] % 700) == x["candidate"] for x in hit)
     assert true >= 0.95 * (len(where) + 1) and true >= 0.95 * len(hit)
+
+
+def test_texts_go_to_python_in_steps_of_bytes(spark, frame, monkeypatch):
+    docs, batch = frame(rows([words(k, 400) * 30 for k in range(240)])).coalesce(1), "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(batch)
+
+    def sizes(*_):
+        return lambda batches: (pa.RecordBatch.from_arrays([pa.array([b.nbytes]), pa.array([0.0]), pa.array([0.0])], ["doc_id", "log_weight", "gumbel_key"]) for b in batches)
+
+    try:
+        with monkeypatch.context() as m:
+            m.setattr(quality, "_scorer", sizes)
+            sent = [r[0] for r in quality.scores(docs, np.zeros(quality.BUCKETS)).collect()]
+        assert sum(sent) > 4 * common.BATCH_BYTES and max(sent) < 1.5 * common.BATCH_BYTES
+        bench = spark.createDataFrame([(1, words(1, 20))], "item_id long, text string")
+        for made in (lambda: minhash.signatures(docs), lambda: decontaminate.leaks(docs, bench), lambda: decontaminate.without_leaks(docs, bench)):
+            spark.conf.set(batch, "64m")
+            made()
+            assert spark.conf.get(batch) == str(common.BATCH_BYTES)
+        spark.conf.set(batch, "1m")  # a lower bound of the session's own stays
+        minhash.signatures(docs)
+        assert spark.conf.get(batch) == "1m"
+    finally:
+        spark.conf.set(batch, before)
+
+
+def test_models_and_signatures_take_bounded_memory():
+    texts = pa.array([words(k, 200) * 10 for k in range(600)], pa.large_string())
+    batch = pa.RecordBatch.from_arrays([texts], ["text"])
+    tracemalloc.start()
+    try:
+        (counted,) = quality._count([batch])
+        assert tracemalloc.get_traced_memory()[1] < 32 << 20
+    finally:
+        tracemalloc.stop()
+    # steps change no result
+    whole = np.bincount(quality.features(kernel.as_text(texts))[0], minlength=quality.BUCKETS)
+    assert (whole[counted["bucket"].to_numpy()] == counted["n"].to_numpy()).all() and whole.sum() == sum(counted["n"].to_pylist())
